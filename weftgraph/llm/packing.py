@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.common import Recent, as_bytes, groups_of
 from weftgraph.plans.lineage import written
@@ -133,7 +134,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = OPEN
     tasks = max(1, math.ceil(total / task_tokens))
     names = pieces.columns
     at = names.index("length")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -6,14 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import bpe_round_trip
-from weftgraph.llm.common import table
+from weftgraph.llm.common import in_fold, table
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.quality import score_quality
+from weftgraph.llm.tokencount import token_counts
+from weftgraph.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    learn = table(spark, sf_dir, "labels").where(~held_out)
+    scored = score_quality(table(spark, sf_dir, "documents"), learn, threshold=0.3)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    learn = table(spark, sf_dir, "labels").where(~held_out)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, learn, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -24,6 +46,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
