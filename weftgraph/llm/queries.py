@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import bpe_round_trip
 from weftgraph.llm.common import in_fold, table
+from weftgraph.llm.langid import identify_language
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import score_quality
 from weftgraph.llm.tokencount import token_counts
@@ -41,6 +42,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    named = identify_language(docs.select("doc_id", "text"), docs.where(~held_out))
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=())
 
@@ -50,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
