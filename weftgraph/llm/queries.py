@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe import bpe_round_trip
 from weftgraph.llm.common import in_fold, table
 from weftgraph.llm.langid import identify_language
+from weftgraph.llm.neardup import embedding_near_duplicates
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import score_quality
 from weftgraph.llm.tokencount import token_counts
+from weftgraph.llm.topk import exact_top_k
 from weftgraph.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fold(F.col("doc_id"), 5, 0)
     learn = table(spark, sf_dir, "labels").where(~held_out)
@@ -26,6 +32,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -54,7 +64,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -62,4 +74,18 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL for DuckDB, where the operator's result is one that SQL can state.
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
