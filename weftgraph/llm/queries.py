@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe import bpe_round_trip
 from weftgraph.llm.common import in_fold, table
 from weftgraph.llm.langid import identify_language
+from weftgraph.llm.lm import score_texts
 from weftgraph.llm.neardup import embedding_near_duplicates
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import score_quality
@@ -59,6 +60,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id").isNotNull() & ~held_out).alias("learn"))
+    return score_texts(docs, "learn").withColumn("held_out", held_out)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=())
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op9_lm_score": op9_lm_score,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
