@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import bpe_round_trip
 from weftgraph.llm.common import in_fold, table
+from weftgraph.llm.jaccard import jaccard_components
 from weftgraph.llm.langid import identify_language
 from weftgraph.llm.lm import score_texts
 from weftgraph.llm.neardup import embedding_near_duplicates
@@ -60,6 +61,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, width=4)
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fold(F.col("doc_id"), 7, 2)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id").isNotNull() & ~held_out).alias("learn"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_lm_score": op9_lm_score,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
