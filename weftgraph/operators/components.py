@@ -51,3 +51,12 @@ def component_labels(edges: DataFrame, src: str = "from_node", dst: str = "to_no
     labels = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
     alone = roots.join(pairs, roots.b == pairs.a, "left_anti")
     return labels.unionAll(alone.select(F.col("b").alias("id"), F.col("b").alias("component")))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of every node; a node without edges is a component of its own.  Edges with
+    an end that is no node do not connect."""
+    ids = nodes.select("id")
+    inside = edges.join(ids.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(ids.withColumnRenamed("id", "to_node"), "to_node", "left_semi")
+    labels = component_labels(inside).withColumnRenamed("id", "of")
+    return ids.join(labels, F.col("id") == F.col("of"), "left").select("id", F.coalesce("component", "id").alias("component"))
