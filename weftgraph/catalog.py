@@ -411,7 +411,7 @@ def _sgd_sql(tail: str, updates: int = 4) -> str:
     }
     for i in range(updates):
         # the list starts with the vertex's own vector; each further item is a neighbour's
-        one = "lambda v, m: {'s': m.s, 'x': v.x - 0.005e0 * (0.01e0 * v.x + (least(greatest(v.x * m.x + v.y * m.y, 1e0), 5e0) - m.r) * m.x), 'y': v.y - 0.005e0 * (0.01e0 * v.y + (least(greatest(v.x * m.x + v.y * m.y, 1e0), 5e0) - m.r) * m.y), 'r': m.r}"
+        one = "lambda p, m: {'s': m.s, 'x': p.x - 0.005e0 * (0.01e0 * p.x + (least(greatest(p.x * m.x + p.y * m.y, 1e0), 5e0) - m.r) * m.x), 'y': p.y - 0.005e0 * (0.01e0 * p.y + (least(greatest(p.x * m.x + p.y * m.y, 1e0), 5e0) - m.r) * m.y), 'r': m.r}"
         heard = f"SELECT b.dst, list({{'s': b.src, 'x': v.x, 'y': v.y, 'r': b.rating}} ORDER BY b.src) AS l FROM ways b JOIN v{i} v ON b.src = v.id GROUP BY b.dst"
         steps[f"v{i + 1}"] = f"SELECT id, n.x AS x, n.y AS y FROM (SELECT v.id, list_reduce(list_prepend({{'s': CAST(-1 AS BIGINT), 'x': v.x, 'y': v.y, 'r': CAST(0 AS DOUBLE)}}, h.l), {one}) AS n FROM v{i} v JOIN ({heard}) h ON v.id = h.dst)"
     return sql(tail.format(r=f"v{updates}"), "ratings", **steps)
