@@ -26,12 +26,19 @@ def meta_nodes(with_value: bool = True) -> T.StructType:
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = "\t", null: str = "null", on_error: str = "fail", where: Column | None = None) -> DataFrame:
     """Rows of delimited text.  ``on_error``: ``fail`` stops at a row that is not as the schema
     says, ``drop`` leaves it out, ``keep`` adds it as text in a column ``rejected``."""
-    mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}[on_error]
-    read = spark.read.option("sep", sep).option("nullValue", null).option("mode", mode)
-    if on_error == "keep":
-        schema = T.StructType([*schema.fields, T.StructField("rejected", T.StringType())])
-        read = read.option("columnNameOfCorruptRecord", "rejected")
-    rows = read.schema(schema).csv(path)
+    if on_error == "fail":
+        rows = spark.read.option("sep", sep).option("nullValue", null).option("mode", "FAILFAST").schema(schema).csv(path)
+    else:
+        # parsed from lines, so that whether a row is as it should be can't depend on the columns
+        # that a query asks for
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        options = {"sep": sep, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "rejected"}
+        lines = spark.read.text(path).where("value <> ''")
+        rows = lines.select(F.from_csv("value", f"{fields}, `rejected` string", options).alias("r")).select("r.*")
+        if on_error == "drop":
+            rows = rows.where("rejected IS NULL").drop("rejected")
+        elif on_error != "keep":
+            raise ValueError(f"on_error {on_error!r} is none of 'fail', 'drop', 'keep'")
     return rows if where is None else rows.where(where)
 
 
