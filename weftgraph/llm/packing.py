@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -62,9 +63,11 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def chunk_encoder(tokenizer_path: str):
+@functools.lru_cache(maxsize=1)
+def chunk_encoder(tokenizer_path: str) -> Recent:
     """A bounded cache from chunks without white space to their ids, as bytes of little-endian
-    uint32.  For tokenizers that drop white space a text's ids are those of its chunks."""
+    uint32.  For tokenizers that drop white space a text's ids are those of its chunks.  A worker
+    process keeps it from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
