@@ -171,7 +171,7 @@ def sharing_lists(texts: DataFrame, width: int, percent: int, bits: int, frequen
         lists = {}
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
             lists.setdefault(xxhash.xxh3_64_intdigest(who[a:b].tobytes()) - (1 << 63), who[a:b])
-        return pd.DataFrame({"list": np.fromiter(lists.keys(), np.int64, len(lists)), "members": list(lists.values())})
+        return pd.DataFrame({"list": np.fromiter(lists.keys(), np.int64, len(lists)), "members": pd.Series(list(lists.values()), dtype=object)})
 
     met = texts.select("text").mapInArrow(run, "bucket bigint, tokens binary, who binary").groupBy("bucket").applyInPandas(meet, "list bigint, members array<bigint>")
     return met.groupBy("list").agg(F.first("members").alias("members")).select("list", F.explode("members").alias("fp"))
