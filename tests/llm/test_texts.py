@@ -1,0 +1,215 @@
+"""Classifiers, language models and the n-gram join, against plain versions and held-out rows."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftgraph.llm.gbt import fit_trees
+from weftgraph.llm.jaccard import ORDERS, jaccard_components, prefix, shingle_set
+from weftgraph.llm.langid import identify_language, letters
+from weftgraph.llm.lm import END, in_states, score_texts, smoothed
+from weftgraph.llm.quality import score_quality
+from weftgraph.llm.queries import op2_quality_classifier, op5_toxicity, op7_language_id, op9_lm_score
+from weftgraph.llm.toxicity import fit_softmax, score_toxicity
+
+BIG = "/root/testdata/sf0.01"
+ODD = [None, "", "  \n", "one", "a b c", "A b  C", "!!! 123", "long " * 20000, "Ünïcode wörds ünïcode", "same text", "same text"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en" if i % 2 else None, 7, 8, None) for i, t in enumerate(ODD)] + [(None, "no id at all", "en", 7, 8, None), (3, "one", "en", 7, 8, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int, word int, fp string")
+
+
+def test_gbt_learns_an_interaction():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    trees = fit_trees(x[:1500], y[:1500])
+    assert ((trees.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] + int(row[trees.feature[node]] > trees.cut[node])
+            total += trees.value[node]
+        return total
+
+    assert trees.margin(x[:50]) == pytest.approx([walk(r) for r in x[:50]])
+    assert (fit_trees(x[:0], y[:0]).probability(x[:3]) == 0.5).all()
+    assert (fit_trees(x[:9], np.ones(9)).probability(x[:3]) > 0.9).all()
+
+
+def held_out_accuracy(spark, q, label, want):
+    got = q(spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id")
+    rows = got.where("held_out").select("predicted", label, "score").collect()
+    assert len(rows) > 50 and all(0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([r["predicted"] == r[label] for r in rows]) >= want
+
+
+def test_quality_of_held_out_rows(spark):
+    held_out_accuracy(spark, op2_quality_classifier, "quality", 0.97)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    held_out_accuracy(spark, op5_toxicity, "toxic", 0.94)
+
+
+def test_language_of_held_out_rows(spark):
+    got = op7_language_id(spark, BIG).join(spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
+
+
+def test_classifiers_of_odd_texts(spark, odd):
+    labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (4, 0, 1), (5, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for score in (score_quality, score_toxicity):
+        for learn in (labels, labels.limit(0)):
+            rows = score(odd, learn).collect()
+            assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
+        assert score(odd.limit(0), labels).count() == 0
+    kept = score_toxicity(odd, labels)
+    assert kept.columns == ["doc_id", "text", "lang", "word", "fp", "score", "predicted"]
+
+
+def test_misspellings_share_subwords():
+    random.seed(2)
+    plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    some = lambda: [random.choice(plain) for _ in range(60)]
+    texts = [" ".join(some() + ["worthless"] * 2) for _ in range(40)] + [" ".join(some()) for _ in range(40)]
+    soft = fit_softmax([t.encode() for t in texts], np.array([1] * 40 + [0] * 40))
+    from weftgraph.llm.toxicity import subwords
+
+    part = lambda w: soft.part_of(np.array(subwords(w))).sum()
+    assert part("worthles5") > 0 and part("worthlesss") > 0 and abs(part("alpha")) < part("w0rthless") * 2
+
+
+def test_language_of_odd_texts(spark, odd):
+    got = identify_language(odd, odd).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        has_letter = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "en") == has_letter and (r["lang_pred"] == "und") == (not has_letter) and 0 <= r["score"] <= 1
+    assert {r["lang_pred"] for r in identify_language(odd, odd.limit(0)).collect()} == {"und"}
+    assert identify_language(odd.limit(0), odd).count() == 0
+    assert letters()[ord("ß")] and not letters()[ord("1")]
+
+
+def plain_components(rows, percent=85):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset())
+    low = {i: rows[i][0] for i in range(len(rows))}
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while True:
+        before = dict(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return [(str(rows[i][0]), len(sets[i]), str(low[i] if sets[i] else rows[i][0])) for i in range(len(rows))]
+
+
+def test_ngram_join_against_all_pairs(spark):
+    random.seed(4)
+    vocab = [f"w{i}" for i in range(200)]
+    base = [[random.choice(vocab) for _ in range(random.choice([3, 12, 40, 120]))] for _ in range(30)]
+    passage = [random.choice(vocab) for _ in range(60)]
+    rows, i = [], 0
+    for words in base:
+        for edits in (0, 0, 1, 2, 4, 6):
+            mine = list(words)
+            for _ in range(edits):
+                mine[random.randrange(len(mine))] = "edit" + random.choice(vocab)
+            rows.append((i, " ".join(mine)))
+            i += 1
+    for _ in range(60):  # a passage that many share, and a large group of near copies
+        rows.append((i, " ".join(passage + [random.choice(vocab) for _ in range(random.choice([2, 10, 80]))])))
+        mine = list(base[5]) + ["tail"] * 60
+        mine[random.randrange(len(mine))] = f"x{i}"
+        rows.append((i + 1, " ".join(mine)))
+        i += 2
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_components(df).collect())
+    assert got == sorted(plain_components(rows))
+
+
+def test_ngram_join_of_odd_texts(spark, odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_components(odd).collect())
+    assert got == sorted(plain_components(rows))
+    assert jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_linked_sets_share_a_prefix_token_under_every_order():
+    random.seed(6)
+    for _ in range(200):
+        n = random.choice([1, 3, 20, 100])
+        words = [str(random.randrange(10**6)) for _ in range(n + 3)]
+        other = list(words)
+        for _ in range(random.randrange(3)):
+            other[random.randrange(len(other))] = "x"
+        s, t = shingle_set(" ".join(words).encode()), shingle_set(" ".join(other).encode())
+        both = len(np.intersect1d(s, t))
+        if 100 * both >= 85 * (len(s) + len(t) - both):
+            frequent = np.zeros(min(5, len(s)), dtype=[("print", np.uint64), ("rank", np.int64)])
+            frequent["print"], frequent["rank"] = np.sort(s[: len(frequent)] >> np.uint64(24)), range(9, 9 + len(frequent))
+            for seed in ORDERS:
+                assert len(np.intersect1d(prefix(s, 85, seed), prefix(t, 85, seed)))
+            assert len(np.intersect1d(prefix(s, 85, ORDERS[0], frequent, 8), prefix(t, 85, ORDERS[0], frequent, 8)))
+
+
+def test_lm_base_and_gain(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    got = {r["doc_id"]: r for r in op9_lm_score(spark, BIG).collect()}
+    counts, tokens = Counter(), {}
+    for r in docs.select("doc_id", "text").collect():
+        tokens[r[0]] = r[1].encode().lower().split() + [END]
+        if zlib.crc32(str(r[0]).encode()) % 7 != 2:
+            counts.update(tokens[r[0]])
+    n, v = sum(counts.values()), len(counts)
+    for i, w in tokens.items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 0.9
+    assert all(r["score"] < 0 for r in got.values())
+
+
+def test_lm_contexts_are_distributions(spark):
+    """In a context the probabilities of all tokens that are known at all add up to 1."""
+    parent = spark.createDataFrame([("", "a", 0.5), ("", "b", 0.3), ("", "?", 0.2)], "context string, token string, p double")
+    rows = [("x", "a", 7), ("x", "b", 0), ("x", "?", 0), ("y", "a", 1), ("y", "b", 1), ("y", "?", 0), ("z", "a", 5), ("z", "b", 3), ("z", "?", 0)]
+    counts = spark.createDataFrame([(c, t, n, 1, 1.0, 0.0, b"") for c, t, n in rows], "context string, token string, t bigint, n bigint, known double, base double, word binary")
+    got = smoothed(counts, parent).groupBy("context").agg(F.sum("p").alias("p"), F.sum("gain").alias("gain")).collect()
+    assert {r["context"]: r["p"] for r in got} == pytest.approx({"x": 1.0, "y": 1.0, "z": 1.0})
+    gain = {r["context"]: r["gain"] for r in got}
+    assert gain["x"] > 2 and gain["y"] < 0.1
+
+
+def test_lm_prefers_what_it_has_seen(spark):
+    learn = [(i, "a b a b a c " * 30, True) for i in range(5)]
+    asked = [(100, "a b a c", False), (101, "a c a c", False), (102, "a zz a c", False)]
+    df = spark.createDataFrame(learn + asked, "doc_id bigint, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in score_texts(df, "learn").where("doc_id >= 100").collect()}
+    assert 0 > got[100] > got[101] > got[102]
+
+
+def test_lm_of_odd_texts(spark, odd):
+    for learn in (F.col("doc_id") > 2, F.lit(False)):
+        rows = score_texts(odd.withColumn("learn", learn), "learn").collect()
+        assert len(rows) == odd.count() and all(r["score"] <= 0 and r["n_tokens"] >= 1 for r in rows)
+    assert score_texts(odd.withColumn("learn", F.lit(True)).limit(0), "learn").count() == 0
+
+
+def test_states():
+    contexts = frozenset([b"a", b"b", b"a\rb", END])
+    assert in_states(b"A b c", contexts) == [END + b"\ta", b"a\tb", b"a\rb\tc", b"\t" + END]
