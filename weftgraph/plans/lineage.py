@@ -43,3 +43,12 @@ def forget(df: DataFrame) -> None:
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/weftgraph/" in name}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries have shuffled.
+
+    Shuffle files stay until the driver's garbage collector finds that nothing refers to them,
+    which may take long on a driver that does little; a job of many large stages asks for it.
+    """
+    spark.sparkContext._jvm.System.gc()
