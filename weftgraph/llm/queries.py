@@ -89,7 +89,45 @@ QUERIES: dict[str, Query] = {
 }
 
 #: SQL for DuckDB, where the operator's result is one that SQL can state.
+_COMPONENTS = """
+        r(id, c) USING KEY (id) AS (
+            SELECT DISTINCT a, a FROM link
+            UNION
+            SELECT l.b, min(r.c) FROM r JOIN link l ON r.id = l.a JOIN recurring.r x ON x.id = l.b WHERE r.c < x.c GROUP BY l.b)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dup": f"""
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS MATERIALIZED (
+            SELECT p.vec_id AS a, q.vec_id AS b
+            FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+            WHERE list_inner_product(p.e, q.e) / sqrt(list_inner_product(p.e, p.e)) / sqrt(list_inner_product(q.e, q.e)) >= 0.93),
+        {_COMPONENTS}
+        SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id) AS n_links, coalesce(r.c, e.vec_id) AS component_id, e.vec_id = coalesce(r.c, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN r ON r.id = e.vec_id
+    """,
+    "op8_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS g
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        link AS MATERIALIZED (
+            SELECT p.doc_id AS a, q.doc_id AS b
+            FROM (SELECT x.doc_id, y.doc_id AS other, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) z
+            JOIN n p ON p.doc_id = z.doc_id JOIN n q ON q.doc_id = z.other
+            WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        {_COMPONENTS}
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.c, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = d.doc_id
+    """,
     "op3_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
