@@ -82,3 +82,24 @@ def test_degrees_of_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("degrees_test").collect())) == [(1, 2, 0), (2, 0, 1), (3, 0, 1)]
+
+
+def test_bucketed_edges_join_without_an_exchange(spark):
+    from weftgraph.sources.layout import analyse, save_bucketed
+
+    edges = spark.createDataFrame([(i % 50, i * 7 % 50) for i in range(200)], "from_node bigint, to_node bigint").distinct()
+    save_bucketed(edges, "edges_b", 4, both=True)
+    analyse(spark, "edges_b")
+    a, b = spark.table("edges_b").hint("merge"), spark.table("edges_b_by_to")
+    joined = b.alias("x").join(a.alias("y"), F.col("x.to_node") == F.col("y.from_node"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() > 0
+    spark.sql("DROP TABLE edges_b")
+    spark.sql("DROP TABLE edges_b_by_to")
+
+
+def test_command_line(capsys):
+    from weftgraph.__main__ import main
+
+    assert main(["list"]) == 0 and "pagerank" in capsys.readouterr().out
+    assert main(["query", "no such query", "x"]) == 2
