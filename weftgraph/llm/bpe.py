@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +42,8 @@ class ByteBpe:
         model, letters = spec["model"], byte_letters()
         self.ids: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair of ids as one number, to the rank and the new id as one number
+        self.merges = {self.ids[a] << 32 | self.ids[b]: rank << 32 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.byte_id = [self.ids[c] for c in letters]
         of_letter = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -53,33 +56,38 @@ class ByteBpe:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token.
 
-        Symbols form a doubly linked list.  The queue holds (rank, left position, left id, right
-        id) of adjacent pairs; an entry whose symbols have changed since is stale and skipped.
+        Symbols form a doubly linked list.  The queue holds rank and left position of adjacent
+        pairs, as one number each; an entry is stale, and skipped, if the pair that is now at its
+        position has another rank.
         """
         sym = [self.byte_id[b] for b in word]
         n = len(sym)
-        if n < 2:
-            return sym
-        merges = self.merges
-        queue = [(m[0], i, sym[i], sym[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
+        rank_of, low = self.merges.get, (1 << 32) - 1
+        queue = [(m >> 32 << 32) | i for i in range(n - 1) if (m := rank_of(sym[i] << 32 | sym[i + 1])) is not None]
         if not queue:
             return sym
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & low
             j = after[i]
-            if sym[i] != left or j >= n or sym[j] != right:
+            if sym[i] < 0 or j >= n:
+                continue
+            m = rank_of(sym[i] << 32 | sym[j])
+            if m is None or m >> 32 != entry >> 32:
                 continue
-            sym[i], sym[j] = new, -1
+            new = sym[i] = m & low
+            sym[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, sym[k])):
-                    heapq.heappush(queue, (m[0], i, new, sym[k], m[1]))
+                if (m := rank_of(new << 32 | sym[k])) is not None:
+                    push(queue, (m >> 32 << 32) | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((sym[h], new))):
-                heapq.heappush(queue, (m[0], h, sym[h], new, m[1]))
+            if h >= 0 and (m := rank_of(sym[h] << 32 | new)) is not None:
+                push(queue, (m >> 32 << 32) | h)
         return [s for s in sym if s >= 0]
 
     def pre_tokens(self, text: str) -> Iterator[str | int]:
@@ -101,20 +109,46 @@ class ByteBpe:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
-#: Where a space stands beside other white space, a pre-token can span the space-separated chunks.
-_SPANNING = regex.compile(r" \s|\s ")
+#: Where white space stands beside white space, a pre-token can span several of both.
+_SPANNING = re.compile(r"\s\s")
 
 
 def chunks_of(bpe: ByteBpe, text: str) -> list[str]:
-    """A text cut at places where every pre-token ends: before single spaces.
+    """A text cut at places where every pre-token ends: before single spaces and around single
+    line ends.
 
-    Joining the encodings of the chunks gives that of the text.  Where a space is beside other
+    Joining the encodings of the chunks gives that of the text.  Where white space is beside
     white space, or a special string occurs, the pre-tokens themselves are the chunks.
     """
-    if _SPANNING.search(text) or (bpe.specials and bpe.specials.search(text)):
+    if _SPANNING.search(text) or any(s in text for s in bpe.special):
         return [p if isinstance(p, str) else bpe.raw[p].decode() for p in bpe.pre_tokens(text)]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + r for r in rest]
+    out: list[str] = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out += [" " + r for r in rest]
+        out.append("\n")
+    out.pop()
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def coder(tokenizer_path: str) -> tuple[ByteBpe, Recent]:
+    """A vocabulary, and a bounded cache from chunks to (ids as text, their number, decoded bytes).
+    A worker process keeps both from task to task."""
+    bpe = ByteBpe(tokenizer_path)
+    of_word = Recent(lambda pre: [[bpe.special[p]] if p in bpe.special else bpe.merge(p.encode()) for p in pre])
+
+    def coded(chunks: list[str]) -> list[tuple[str, int, bytes]]:
+        pre = [[c] if c in bpe.special else bpe.breaks.findall(c) for c in chunks]
+        known, raw, out = of_word.fill({p for ps in pre for p in ps}), bpe.raw.__getitem__, []
+        for ps in pre:
+            ids = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
+            out.append((",".join(map(str, ids)), len(ids), b"".join(map(raw, ids))))
+        return out
+
+    return bpe, Recent(coded, 400_000)
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -131,38 +165,23 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema += ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer_path)
-
-        def words(pre_tokens: list[str]) -> list[list[int]]:
-            return [[bpe.special[p]] if p in bpe.special else bpe.merge(p.encode()) for p in pre_tokens]
-
-        of_word = Recent(words)
-
-        def coded(chunks: list[str]) -> list[tuple[str, int, bytes, list[int]]]:
-            out = []
-            for c in chunks:
-                pre = [c] if c in bpe.special else bpe.breaks.findall(c)
-                known = of_word.fill(pre)
-                ids = [i for p in pre for i in known[p]]
-                out.append((",".join(map(str, ids)), len(ids), b"".join(map(bpe.raw.__getitem__, ids)), ids))
-            return out
-
-        of_chunk = Recent(coded, 200_000)
+        bpe, of_chunk = coder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in groups_of(texts):
                 n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-                for text in texts[a:b]:
-                    chunks = chunks_of(bpe, text) if text else []
-                    known = of_chunk.fill(chunks)
-                    got = [known[c] for c in chunks]
-                    n.append(sum(g[1] for g in got))
-                    ids_sha.append(hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest())
+                chunked = [chunks_of(bpe, text) if text else [] for text in texts[a:b]]
+                known = of_chunk.fill(set().union(*chunked)).__getitem__
+                for chunks in chunked:
+                    ids, counts, raw = zip(*map(known, chunks), strict=True) if chunks else ((), (), ())
+                    ids = ",".join(ids)
+                    n.append(sum(counts))
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     # bytes that are no UTF-8 can't come from a text; were there any, they'd be replaced
-                    decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
+                    decoded = b"".join(raw).decode("utf-8", "replace")
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if "ids" in keep:
-                        all_ids.append([i for g in got for i in g[3]])
+                        all_ids.append([int(i) for i in ids.split(",")] if ids else [])
                     if "decoded" in keep:
                         all_text.append(decoded)
                 columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
