@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes
 from weftgraph.operators.components import component_labels
-from weftgraph.plans.lineage import written
+from weftgraph.plans.lineage import release, written
 
 #: So many of the most frequent shingles have their frequencies broadcast; they come last in the
 #: first order.  Any set of shingles gives a valid order, so the bound costs no link.
@@ -22,7 +22,7 @@ FREQUENT, LEAST_FREQUENT = 200_000, 8
 #: Seeds of the orders: each ranks shingles by a hash of its own, the first by frequency before.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of the parity sketch that bounds overlaps from above.
-SKETCH = 2_048
+SKETCH = 1_024
 #: Up to so many distinct texts that share a prefix token are found again by a broadcast of ids.
 BROADCAST_IDS = 1_000_000
 #: A task hands its hashes on when it holds so many.
@@ -312,26 +312,28 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     bits = max(4, min(24, math.ceil(math.log2(max(2, rows.count() / 100)))))
     named = texts.where("id IS NOT NULL AND text IS NOT NULL")
     frequent = spark.sparkContext.broadcast(frequent_shingles(named, width, bits))
+    release(spark)
     lists = written(sharing_lists(named, width, percent, bits, frequent), "lists")
-    once = able.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    sharing = written(lists.select("fp").distinct().join(once, "fp"), "sharing")
-    n_sharing = sharing.count()
+    release(spark)
+    once = able.groupBy("fp", "id").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits")).groupBy("fp").agg(F.min(F.struct("id", "rows", "n", "bits")).alias("r"))
+    sharing = written(lists.select("fp").distinct().join(once, "fp").select("fp", "r.*"), "sharing")
+    n_sharing, most_rows = sharing.agg(F.count("*"), F.max("rows")).first()
     labels = None
     if n_sharing:
         ids = sharing.select(F.col("id"), "fp")
-        # of rows that repeat an id any with the right set will do, but the set must be that one
-        picked = named.join(F.broadcast(ids) if n_sharing <= BROADCAST_IDS else ids, "id")
-        found = written(picked.mapInArrow(_only_right(width), "fp bigint, text binary").dropDuplicates(["fp"]), "texts")
-        members = written(lists.join(sharing.select("fp", "n", "bits"), "fp"), "members")
-        edges = tested = None
-        cap = 1
+        # an id may stand for other texts too, so the text must have the right set
+        found = named.join(F.broadcast(ids) if n_sharing <= BROADCAST_IDS else ids, "id").mapInArrow(_only_right(width), "fp bigint, text binary")
+        found = written(found if most_rows == 1 else found.dropDuplicates(["fp"]), "texts")
+        sketches = sharing.select("fp", "n", "bits")
+        open_lists, edges, tested, cap = lists.withColumn("comp", F.col("fp")), None, None, 1
         while True:
-            now = members.withColumn("comp", F.col("fp")) if labels is None else members.join(labels.withColumnRenamed("id", "fp").withColumnRenamed("component", "comp0"), "fp", "left").withColumn("comp", F.coalesce("comp0", "fp"))
+            now = open_lists.join(sketches, "fp")
             got = written(candidate_pairs(now, percent, cap).distinct(), "candidates")
             pairs = got.where("a IS NOT NULL")
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             new = written(verified(pairs, found, width, percent), "edges")
+            release(spark)
             more = not got.where("a IS NULL").isEmpty()
             tested = pairs if tested is None else tested.unionAll(pairs)
             if not new.isEmpty():
@@ -339,6 +341,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
                 labels = written(component_labels(edges, "a", "b"), "labels")
             if not more:
                 break
+            if labels is not None:  # lists that are within one component have nothing left to find
+                of = labels.select(F.col("id").alias("fp"), F.col("component").alias("found"))
+                at = open_lists.join(of, "fp", "left").select("list", "fp", F.coalesce("found", "comp").alias("comp"))
+                apart = at.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
+                open_lists = written(at.join(apart, "list", "left_semi"), "open")
             cap *= 4
     root = F.col("fp")
     whole = able.select("id", "n", "fp")
