@@ -76,7 +76,7 @@ def chunk_encoder(tokenizer_path: str) -> Recent:
     tokenizer.no_padding()
 
     def make(chunks: list[bytes]) -> list[bytes]:
-        coded = tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        coded = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.asarray(c.ids, dtype="<u4").tobytes() for c in coded]
 
     return Recent(make)
