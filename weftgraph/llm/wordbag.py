@@ -14,7 +14,7 @@ from weftgraph.llm.common import as_bytes
 #: At most so many words, none longer than so many bytes, are broadcast.
 TOP_WORDS, TOP_BYTES = 400_000, 48
 #: A task's counter is handed on when it holds so many words.
-COUNTER_WORDS = 1_000_000
+COUNTER_WORDS = 400_000
 
 
 def word_counts(docs: DataFrame, words: Callable[[bytes], list[bytes]], text_col: str = "text") -> DataFrame:
@@ -60,7 +60,8 @@ def sum_over_words(docs: DataFrame, table: DataFrame, value_cols: list[str], wor
     spark = docs.sparkSession
     k = len(value_cols)
     bundle = table.select("word", "n", F.array(*[F.col(c).cast("double") for c in value_cols]).alias("value"))
-    common = spark.sparkContext.broadcast(top_words(bundle, "value", top))
+    # one value is kept as itself: a list for each word would take twice the memory
+    common = spark.sparkContext.broadcast(top_words(bundle.withColumn("value", F.col("value")[0]) if k == 1 else bundle, "value", top))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"row bigint, id {id_type}, n_bytes bigint, n_words bigint, key binary, times bigint, known array<double>"
 
@@ -84,7 +85,7 @@ def sum_over_words(docs: DataFrame, table: DataFrame, value_cols: list[str], wor
                         key.append(w)
                         times.append(c)
                     elif k == 1:
-                        sums[0] += c * v[0]
+                        sums[0] += c * v
                     else:
                         for j in range(k):
                             sums[j] += c * v[j]
