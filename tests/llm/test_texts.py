@@ -213,3 +213,68 @@ def test_lm_of_odd_texts(spark, odd):
 def test_states():
     contexts = frozenset([b"a", b"b", b"a\rb", END])
     assert in_states(b"A b c", contexts) == [END + b"\ta", b"a\tb", b"a\rb\tc", b"\t" + END]
+    assert in_states(b"A b c", None) == [END + b"\ta", END + b"\ra\tb", b"a\rb\tc", b"b\rc\t" + END]
+
+
+def test_lm_keeps_contexts_however_large_the_corpus(spark):
+    """What follows "q" a few times is told by "q", also where it is far less than 1 in 1,000."""
+    filler = " ".join(f"f{i}" for i in range(400))
+    learn = [(i, filler, True) for i in range(100)] + [(i, "q r q r q r q r", True) for i in range(100, 105)]
+    asked = [(900, "q r", False), (901, "r q", False)]
+    df = spark.createDataFrame(learn + asked, "doc_id bigint, text string, learn boolean")
+    got = {r["doc_id"]: r for r in score_texts(df, "learn").where("doc_id >= 900").collect()}
+    assert 20 < 1e-3 * got[900]["train_tokens"]
+    assert got[900]["score"] > got[900]["base_score"] / 2
+
+
+def test_lm_against_a_plain_tree(spark):
+    random.seed(9)
+    texts = []
+    for _ in range(40):
+        at = [0, 1]
+        for _ in range(random.randrange(60)):
+            at.append(random.randrange(9) if random.random() < 0.4 else (at[-1] + at[-2]) % 9)
+        words = [f"w{i}" for i in at]
+        texts.append(" ".join(words))
+    texts[0] += " x1 x2 x3"  # learned, but met once
+    texts += ["w1 unseen w2 unseen", "", "w3 x1 x2"]
+    rows = [(i, t, i < 35) for i, t in enumerate(texts)]
+    seen = [Counter(), Counter(), Counter()]
+    for _, t, learn in rows:
+        w = t.encode().split() + [END]
+        if learn:
+            seen[0].update((b"", x) for x in w)
+            seen[1].update(zip([END, *w], w))
+            seen[2].update((a + b"\r" + b, c) for a, b, c in zip([END, *w], w, w[1:]))
+    n, v = sum(seen[0].values()), len(seen[0])
+    after = [{}, {}, {}]
+    for level, bag in zip(after, seen):
+        for (c, x), k in bag.items():
+            level.setdefault(c, {})[x] = k
+    kept = set()
+
+    def p(c, x):
+        if not c:
+            k = seen[0][b"", x]
+            return (k - 0.75) / n if k else 0.75 * v / n
+        short = c.partition(b"\r")[2]
+        bag = after[1 + c.count(b"\r")][c]
+        total = sum(bag.values())
+        return max(bag.get(x, 0) - 0.75, 0) / total + len(bag) * 0.75 / total * p(short, x)
+
+    for level in after[1:]:
+        for c, bag in level.items():
+            short, total, gain = c.partition(b"\r")[2], sum(bag.values()), 0
+            if short and short not in kept:
+                continue
+            for x, k in bag.items():
+                below, others = p(short, x), max(total - 1, 1)
+                gain += k * math.log((max(k - 1.75, 0) / others + max(len(bag) - (k == 1), 1) * 0.75 / others * below) / below)
+            if total >= 2 and gain > 2:
+                kept.add(c)
+    assert any(b"\r" in c for c in kept) and all(any(c not in kept for c in level) for level in after[1:])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in score_texts(df, "learn").collect()}
+    for i, t, _ in rows:
+        want = sum(math.log10(p(*k.split(b"\t"))) for k in in_states(t.encode(), frozenset(kept)))
+        assert got[i] == pytest.approx(want)

@@ -8,16 +8,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes
 from weftgraph.llm.wordbag import COUNTER_WORDS, sum_over_words
 from weftgraph.plans.lineage import forget, release, written
 
-#: Contexts have at most DEPTH tokens, and follow at least this share of all tokens; so each
-#: length has at most 1 / LEAST_SHARE of them, whatever the corpus.
-DEPTH, LEAST_SHARE = 2, 1e-3
+#: Contexts have at most DEPTH tokens and are followed at least so often in the texts to learn
+#: from, whatever the corpus holds; so their number grows with it.
+DEPTH, LEAST_COUNT = 2, 2
 #: What each distinct token seen in a context gives up to those not seen there.
 DISCOUNT = 0.75
 #: Nats by which a context must be better than the next shorter one to be kept.
@@ -33,9 +33,12 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def in_states(text: bytes, contexts: frozenset[bytes]) -> list[bytes]:
+def in_states(text: bytes, contexts: frozenset[bytes] | None) -> list[bytes]:
     """The tokens of a text, each after the longest of ``contexts`` (which hold every suffix of
-    each) that it follows.  Before a text stands END."""
+    each) that it follows; None stands for all contexts.  Before a text stands END."""
+    if contexts is None:
+        words = tokens_of(text)
+        return [END + THEN + words[0], *[b"%b\r%b\t%b" % x for x in zip([END, *words], words, words[1:], strict=False)]]
     out, longest, before = [], END if END in contexts else b"", END
     for w in tokens_of(text):
         out.append(longest + THEN + w)
@@ -48,12 +51,11 @@ def in_states(text: bytes, contexts: frozenset[bytes]) -> list[bytes]:
     return out
 
 
-def state_counts(docs: DataFrame, contexts, text_col: str, learn_col: str, least_joins: int | None) -> DataFrame:
-    """(word, n, t): how often each token follows each state in all texts and in those to learn
-    from.  With ``least_joins`` only states of at least so many joins count."""
+def gram_counts(docs: DataFrame, text_col: str, learn_col: str) -> DataFrame:
+    """(word, n, t): how often each token follows each DEPTH tokens (fewer where a text starts) in
+    all texts and in those to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = contexts.value
         seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -66,12 +68,7 @@ def state_counts(docs: DataFrame, contexts, text_col: str, learn_col: str, least
 
         for batch in batches:
             for text, learned in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                keys = in_states(text or b"", known) if known else [THEN + w for w in tokens_of(text or b"")]
-                if least_joins == 0:
-                    keys = [k for k in keys if k[:1] != THEN]
-                elif least_joins:
-                    keys = [k for k in keys if JOIN in k]
-                seen[bool(learned)].update(keys)
+                seen[bool(learned)].update(in_states(text or b"", None))
                 if len(seen[0]) + len(seen[1]) > COUNTER_WORDS:
                     yield from out()
         yield from out()
@@ -86,24 +83,39 @@ def split_states(counts: DataFrame) -> DataFrame:
     return counts.withColumn("context", F.substring_index(text, "\t", 1)).withColumn("token", F.substring_index(text, "\t", -1))
 
 
-def smoothed(counts: DataFrame, parent: DataFrame) -> DataFrame:
-    """Probabilities of the tokens after each context of one length, and their parts of its gain.
+def smoothed(counts: DataFrame, parent: DataFrame, length: int = 1) -> DataFrame:
+    """``counts`` with p, the probability of the token after its context of ``length`` tokens, its
+    part of the context's gain, and what ``parent`` says of it after the next shorter context.
 
-    ``parent`` holds context, token and p of the next shorter length.  A context's distribution
-    is its counts less DISCOUNT each, and what that frees goes by the shorter context's
-    distribution.  The gain is in nats over the texts to learn from, each occurrence judged by
-    the counts without it, so that chance does not look like divergence.
+    ``parent`` holds context, token and p (here: below) of the next shorter length, and may hold
+    more.  A context's distribution is its counts less DISCOUNT each, and what that frees goes by
+    the shorter context's distribution.  The gain is in nats over the texts to learn from, each
+    occurrence judged by the counts without it, so that chance does not look like divergence.
     """
-    shorter = F.when(F.instr("context", "\r") > 0, F.substring_index("context", "\r", -1)).otherwise(F.lit(""))
-    with_parent = counts.withColumn("shorter", shorter).join(parent.select(F.col("context").alias("shorter"), "token", F.col("p").alias("below")), ["shorter", "token"])
-    totals = counts.where("t > 0").groupBy("context").agg(F.sum("t").cast("double").alias("all_t"), F.count("*").cast("double").alias("kinds"))
-    rows = with_parent.join(F.broadcast(totals), "context")
-    p = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)) / F.col("all_t") + F.col("kinds") * DISCOUNT / F.col("all_t") * F.col("below")
+    shorter = F.substring_index("context", "\r", 1 - length) if length > 1 else F.lit("")
+    above = parent.withColumnsRenamed({"context": "shorter", "p": "below"})
+    rows = counts.withColumn("shorter", shorter).join(above, ["shorter", "token"])
+    of_context = Window.partitionBy("context")
+    rows = rows.withColumns({"all_t": F.sum("t").over(of_context).cast("double"), "kinds": F.count(F.when(F.col("t") > 0, 1)).over(of_context).cast("double")})
+    total = F.greatest(F.col("all_t"), F.lit(1.0))
+    p = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)) / total + F.col("kinds") * DISCOUNT / total * F.col("below")
     others = F.greatest(F.col("all_t") - 1, F.lit(1.0))
     kinds = F.greatest(F.col("kinds") - F.when(F.col("t") == 1, 1).otherwise(0), F.lit(1.0))
     without = F.greatest(F.col("t") - 1 - DISCOUNT, F.lit(0.0)) / others + kinds * DISCOUNT / others * F.col("below")
     gain = F.when(F.col("t") > 0, F.col("t") * F.log(without / F.col("below"))).otherwise(0.0)
-    return rows.select("word", "n", "context", "token", "t", "known", "base", p.alias("p"), gain.alias("gain"))
+    return rows.withColumns({"p": p, "gain": gain}).drop("shorter", "kinds")
+
+
+def next_level(counts: DataFrame, parent: DataFrame, length: int) -> DataFrame:
+    """``counts`` with known, base, kept and p: by the context itself where it is kept, else by the
+    longest kept one that it ends in.  A context is kept if it has ``length`` tokens, the next
+    shorter one is kept, it is followed LEAST_COUNT times and gains more than LEAST_GAIN."""
+    rows = smoothed(counts, parent.withColumnRenamed("kept", "suffix_kept"), length)
+    full = F.size(F.split("context", "\r")) == length
+    gain = F.sum("gain").over(Window.partitionBy("context"))
+    kept = full & F.col("suffix_kept") & (F.col("all_t") >= LEAST_COUNT) & (gain > LEAST_GAIN)
+    rows = rows.withColumn("kept", kept)
+    return rows.withColumn("p", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below"))).select(*counts.columns, "known", "base", "kept", "p")
 
 
 def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,50 +125,37 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
     between ASCII white space with A-Z lower-cased, then one END; those never learned are one
     symbol.  base_score is the unigram model with one added to each count.  score is log10 of the
     suffix tree's probability: each token is predicted by the longest kept context before it.
-    Contexts of up to DEPTH tokens are kept when they gain over the next shorter one.
+    Contexts of up to DEPTH tokens are kept when they gain over the next shorter one and are
+    followed LEAST_COUNT times.
+
+    Every token after every DEPTH tokens is a row of a written table, and so are the states that
+    come of it: their number grows with the corpus and none is held in one place.
 
     A null text counts as empty and has the END alone; repeated rows and null ids stay.  With
     nothing to learn from all scores are 0, as there is one symbol only.
     """
     spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
-    root = written(split_states(state_counts(docs, send(frozenset()), text_col, learn_col, None)), "tokens")
+    grams = written(gram_counts(docs, text_col, learn_col), "grams")
+    release(spark)
+    split = split_states(grams)
+    root = written(split.groupBy("token").agg(F.sum("t").alias("t")), "tokens")
     n, v = root.agg(F.coalesce(F.sum("t"), F.lit(0)), F.count(F.when(F.col("t") > 0, 1))).first()
     freed = DISCOUNT * v / n if n else 1.0
     p = F.when(F.col("t") > 0, (F.col("t") - DISCOUNT) / F.lit(float(max(n, 1)))).otherwise(F.lit(freed))
-    level = root.withColumn("known", F.when(F.col("t") > 0, 1.0).otherwise(0.0)).withColumn("base", F.log10((F.col("t") + 1) / F.lit(float(n + v + 1)))).withColumn("p", p)
-    root_values = level.select("token", "known", "base")
-    levels, kept = [level], frozenset()
-    for length in range(1, DEPTH + 1):
-        # a longer context ends where a kept one of the length before meets its next token
-        followed = F.col("word").cast("string")
-        name = F.col("token") if length == 1 else F.regexp_replace(followed, "\t", "\r")
-        often = level.where((F.col("t") >= max(2.0, LEAST_SHARE * n)) & ((F.lit(length == 1)) | (F.col("token") != "\n"))).select(name.cast("binary").alias("c"), F.col("token").cast("binary").alias("last")).collect()
-        candidates = frozenset(bytes(r["c"]) for r in often if length == 1 or bytes(r["last"]) in kept)
-        if not candidates:
-            break
-        counted = split_states(state_counts(docs, send(kept | candidates), text_col, learn_col, length - 1))
-        counted = written(counted, "counts")
-        release(spark)
-        met = written(counted.join(root_values, "token"), "states")
-        forget(counted)
-        rows = written(smoothed(met, level), "level")
-        forget(met)
+    known, base = F.when(F.col("t") > 0, 1.0).otherwise(0.0), F.log10((F.col("t") + 1) / F.lit(float(n + v + 1)))
+    level = root.select(F.lit("").alias("context"), "token", known.alias("known"), base.alias("base"), F.lit(True).alias("kept"), p.alias("p"))
+    old = [root]
+    for length in range(1, DEPTH):
+        context = F.substring_index("context", "\r", -length)
+        counts = split.groupBy(context.alias("context"), "token").agg(F.sum("t").alias("t"))
+        level = written(next_level(counts, level, length).drop("t"), "level")
+        old.append(level)
         release(spark)
-        gains = rows.groupBy("context").agg(F.sum("gain").alias("gain"))
-        good = {r["context"].encode() for r in gains.where(F.col("gain") > LEAST_GAIN).select("context").collect()}
-        good &= candidates
-        if not good:
-            break
-        kept |= good
-        stay = F.broadcast(spark.createDataFrame([(c.decode("utf-8", "replace"),) for c in sorted(good)], "context string"))
-        level = rows.join(stay, "context", "left_semi")
-        levels.append(level)
-    values = functools.reduce(DataFrame.unionAll, [x.select("word", "n", F.col("base").alias("base_score"), F.log10("p").alias("score"), F.col("known").alias("n_known")) for x in levels])
-    words: Callable[[bytes], list[bytes]] = functools.partial(in_states, contexts=kept)
-    values = written(values, "values")
-    for x in {root, *levels[1:]}:
+    states = next_level(split, level, DEPTH)
+    values = written(states.select("word", "n", F.col("base").alias("base_score"), F.log10("p").alias("score"), F.col("known").alias("n_known")), "values")
+    for x in [grams, *old]:
         forget(x)
     release(spark)
+    words: Callable[[bytes], list[bytes]] = functools.partial(in_states, contexts=None)
     sums = sum_over_words(docs, values, ["base_score", "score", "n_known"], words, id_col, text_col)
     return sums.select(id_col, F.col("n_words").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
