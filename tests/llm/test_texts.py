@@ -90,6 +90,37 @@ def test_misspellings_share_subwords():
     assert part("worthles5") > 0 and part("worthlesss") > 0 and abs(part("alpha")) < part("w0rthless") * 2
 
 
+def plain_subwords(word):
+    marked = f"<{word}>"
+    return sorted(zlib.crc32(g.encode()) % (1 << 23) for g in [word] + [marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)])
+
+
+def test_subwords_of_long_words():
+    from weftgraph.llm.toxicity import PIECE, pieces, subwords
+
+    random.seed(3)
+    for n in (0, 1, 2, 63, 64, 65, 200, *range(PIECE - 8, PIECE + 4), 3 * PIECE + 1):
+        word = "".join(random.choice("abcdé語") for _ in range(n))
+        assert sorted(subwords(word)) == plain_subwords(word)
+        assert all(len(p) <= 4 * PIECE + 1 for p in pieces(word))
+
+
+def test_toxicity_late_in_a_text_without_spaces(spark):
+    random.seed(2)
+    plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    some = lambda n=60: [random.choice(plain) for _ in range(n)]
+    rows = [(i, " ".join(some() + ["worthless"] * 2)) for i in range(40)] + [(i, " ".join(some())) for i in range(40, 80)]
+    run = "_".join(some(40))
+    rows += [(100, run + "_worthless" * 5), (101, run + "_alpha__" * 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, labels).collect()}
+    assert got[100] > got[101] + 0.05
+    joined = spark.createDataFrame([(i, t.replace(" ", "_")) for i, t in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(joined, labels).collect()}
+    assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 80))
+
+
 def test_language_of_odd_texts(spark, odd):
     got = identify_language(odd, odd).collect()
     assert len(got) == odd.count()

@@ -19,6 +19,10 @@ from weftgraph.llm.common import Recent, as_bytes, groups_of
 #: the id, whose texts have at most so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 60_000
 BUCKETS, WIDTH, SUBWORDS = 1 << 23, 8, 6_000
+#: A word's n-grams are made at so many starts at a time; only words of up to so many letters are
+#: remembered.
+PIECE = 4_096
+LONG = 64
 #: Neutral subwords that every average includes, so that one chance hit in a short text weighs less.
 NEUTRAL = 1000
 
@@ -27,12 +31,21 @@ def words_of(text: bytes | None) -> list[str]:
     return (text or b"").decode("utf-8", "replace").lower().split()
 
 
-def subwords(word: str) -> list[int]:
+def pieces(word: str) -> Iterator[list[int]]:
     """Hashes of a word and of its character n-grams of 3 to 6, with its ends marked, so that a
-    misspelling shares most of them with the word meant."""
-    marked = f"<{word[:64]}>"  # what follows 64 letters of one word is in no n-gram but in the word itself
-    grams = [word] + [marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    misspelling shares most of them with the word meant; PIECE starts of n-grams at a time, so
+    that a text without spaces, which is one word, is never expanded at once."""
+    marked = f"<{word}>"
+    for a in range(0, len(marked), PIECE):
+        part = marked[a : a + PIECE + 5]  # n-grams that start in one piece end in the next
+        grams = [] if a else [word]
+        grams += [part[i : i + n] for n in (3, 4, 5, 6) for i in range(min(PIECE, len(part) - n + 1))]
+        yield [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+
+
+def subwords(word: str) -> list[int]:
+    """All that :func:`pieces` gives of a word."""
+    return [h for piece in pieces(word) for h in piece]
 
 
 @dataclass
@@ -95,9 +108,9 @@ def fit_softmax(texts: list[bytes], y: np.ndarray, epochs: int = 40, batch: int
     for text in texts:
         bag = Counter(words_of(text))
         for w in bag:
-            if w not in known:
+            if w not in known and len(w) <= LONG:
                 known[w] = np.array(subwords(w), np.int32)
-        each = [known[w] for w in bag] or [np.zeros(1, np.int32)]
+        each = [known[w] if w in known else np.concatenate([np.array(p, np.int32) for p in pieces(w)]) for w in bag] or [np.zeros(1, np.int32)]
         times = np.repeat(np.fromiter(bag.values(), np.float64, len(bag)), [len(x) for x in each]) if bag else np.zeros(1)
         at, slot = np.unique(np.concatenate(each), return_inverse=True)
         ids.append(at)
@@ -156,7 +169,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     is replaced.
 
     ``labels`` holds the rows to learn from; only the text enters a score.  Every whole text is
-    averaged over all its words.  Null and empty texts get the score of the bias alone.
+    averaged over all its words, and a word, however long, over all its subwords.  Null and empty texts get the score of the bias alone.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, label_col))
     bare = docs.drop("score", "predicted")
@@ -172,16 +185,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
             sums = np.add.reduceat(soft.part_of(np.concatenate([np.asarray(g) for g in got])), np.r_[0, np.cumsum(size)[:-1]])
             return list(zip(sums.tolist(), size.tolist(), strict=True))
 
+        def of_long(word: str) -> tuple[float, int]:
+            parts = [(soft.part_of(np.asarray(p)).sum(), len(p)) for p in pieces(word)]
+            return sum(s for s, _ in parts), sum(k for _, k in parts)
+
         of_word = Recent(make)
         for batch in batches:
             texts, scores = as_bytes(batch.column(at)), []
             for a, b in groups_of(texts):
                 bags = [Counter(words_of(t)) for t in texts[a:b]]
-                known = of_word.fill({w for bag in bags for w in bag})
+                known = of_word.fill({w for bag in bags for w in bag if len(w) <= LONG})
                 total, n = np.zeros(b - a), np.zeros(b - a)
                 for i, bag in enumerate(bags):
                     for w, c in bag.items():
-                        s, k = known[w]
+                        s, k = known[w] if len(w) <= LONG else of_long(w)
                         total[i] += c * s
                         n[i] += c * k
                 scores.append(soft.probability(total, n))
