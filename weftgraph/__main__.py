@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def main(args: list[str]) -> int:
-    from weftgraph.catalog import QUERIES
+    from weftgraph.catalog import QUERIES as WITH_SQL, WITHOUT_SQL
+
+    QUERIES = WITH_SQL | WITHOUT_SQL
     from weftgraph.sources.text import read_edges
 
     if args[:1] == ["list"]:

@@ -10,7 +10,6 @@ NODE = "SELECT p_partkey AS id FROM {part}"
 EDGE = """SELECT DISTINCT a.l_partkey AS from_node, b.l_partkey AS to_node
 FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_partkey <> b.l_partkey"""
-SPARSE = EDGE + " AND a.l_orderkey % 20 = 0"
 RATINGS = """SELECT o_custkey AS user, 10000000 + l_partkey AS item, CAST(MAX(1 + CAST(l_quantity AS BIGINT) % 5) AS DOUBLE) AS rating
 FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey"""
 UEDGE = "SELECT from_node, to_node FROM {edge} UNION SELECT to_node, from_node FROM {edge}"
@@ -46,10 +45,6 @@ class Derived:
     def edge(self) -> DataFrame:
         return self.sql(EDGE)
 
-    @property
-    def sparse(self) -> DataFrame:
-        return self.sql(SPARSE)
-
     @property
     def uedge(self) -> DataFrame:
         return self.sql(UEDGE, edge=self.edge)
