@@ -95,3 +95,23 @@ def test_top_k_of_repeated_ids(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0])]
     got = sorted(tuple(r) for r in exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=2).collect())
     assert got == [(0, 1, 0, 65536), (0, 1, 0, 65536), (0, 2, 1, 65536), (0, 2, 1, 65536)]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_near_duplicates_of_mixed_widths(spark, rows, parts):
+    """Each width is compared as if it were alone, wherever its rows are, and no row is lost."""
+    schema = "vec_id bigint, embedding array<double>, label int"
+    narrow = [(i, v, k) for i, v, k in rows if usable(v)]
+    wide = [(10_000 + i, [*v, 0.5], k) for i, v, k in narrow[:50]] + [(20_000, [1.0] * 30, 1)]
+    got = embedding_near_duplicates(spark.createDataFrame(narrow + wide, schema).coalesce(1).repartition(parts, "label") if parts > 1 else spark.createDataFrame(narrow + wide, schema).coalesce(1))
+    alone = [r for part in (narrow, wide[:50], wide[50:]) for r in embedding_near_duplicates(spark.createDataFrame(part, schema)).collect()]
+    assert sorted(map(str, got.collect())) == sorted(map(str, alone)) and len(alone) == len(narrow) + len(wide)
+    assert sum(r["n_links"] > 0 for r in alone if r["vec_id"] >= 10_000) > 5 and sum(r["n_links"] > 0 for r in alone if r["vec_id"] < 10_000) > 50
+
+
+def test_near_duplicates_beside_a_batch_of_wider_vectors(spark, rows):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    narrow = [(i, v, k) for i, v, k in rows if usable(v)]
+    one = spark.createDataFrame([(20_000, [1.0] * 9, 1)], schema).coalesce(1)
+    got = embedding_near_duplicates(spark.createDataFrame(narrow, schema).coalesce(1).union(one)).collect()
+    assert len(got) == len(narrow) + 1 and sum(r["n_links"] > 0 for r in got) > 50

@@ -20,20 +20,24 @@ SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 50_000, 4_000, 256
 BLOCK = 1_024
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length 1 in double precision, and which of them can link: those that are
-    not null, of one width, finite and not zero."""
-    width = max((len(v) for v in vectors if v is not None), default=0)
-    x = np.full((len(vectors), max(width, 1)), np.nan)
+def unit_rows(vectors: list) -> list[bytes | None]:
+    """Each vector scaled to length 1 in double precision, as bytes; None for those that can't
+    link: null, empty, zero, or with null or non-finite components.  What becomes of a vector does
+    not depend on the others."""
+    out: list[bytes | None] = [None] * len(vectors)
+    of_width: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
-        if v is not None and len(v) == width and width:
-            x[i] = [np.nan if c is None else c for c in v]
-    big = np.abs(x).max(axis=1, initial=0)
-    ok = np.isfinite(big) & (big > 0)
-    x[~ok] = 0
-    x[ok] /= big[ok, None]  # so that squares neither overflow nor vanish
-    x[ok] /= np.sqrt((x[ok] ** 2).sum(axis=1))[:, None]
-    return x, ok
+        if v is not None and len(v):
+            of_width.setdefault(len(v), []).append(i)
+    for at in of_width.values():
+        x = np.array([[np.nan if c is None else c for c in vectors[i]] for i in at], dtype=np.float64)
+        big = np.abs(x).max(axis=1)
+        ok = np.isfinite(big) & (big > 0)
+        x[ok] /= big[ok, None]  # so that squares neither overflow nor vanish
+        x[ok] /= np.sqrt((x[ok] ** 2).sum(axis=1))[:, None]
+        for j in np.flatnonzero(ok):
+            out[at[j]] = x[j].tobytes()
+    return out
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -91,13 +95,13 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
     """One row per row of ``vectors``: ``id_col``, n_links, component_id, kept.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is
-    at least ``threshold``.  Vectors that are null, zero, of a width other than the widest in
-    their batch, or that hold null or non-finite components link with nothing, nor do rows with a
+    at least ``threshold``.  Vectors of unlike width never link.  Vectors that are null,
+    empty, zero, or that hold null or non-finite components link with nothing, nor do rows with a
     null id (which have a null component and are not kept).  Rows that repeat an id are told
     apart as rows but are one node for components.
 
     Copies of one vector under one label collapse to the least id before anything is compared.
-    Cells are (label, centre); a cell's home rows meet all that can link with them, in tasks of a
+    Cells are (label, width, centre); a cell's home rows meet all that can link with them, in tasks of a
     block of home rows each.
     """
     spark = vectors.sparkSession
@@ -105,42 +109,48 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ok = unit_rows(batch.column(1).to_pylist())
-            unit = [x[i].tobytes() if ok[i] else None for i in range(len(x))]
+            unit = unit_rows(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(unit, pa.binary()), batch.column(2)], names=["id", "unit", "label"])
 
     rows = written(vectors.select(F.col(id_col), F.col(vector_col), F.col(label_col)).mapInArrow(scale, f"id bigint, unit binary, label {label_type}"), "vectors")
     able = rows.where("id IS NOT NULL AND unit IS NOT NULL AND label IS NOT NULL")
     distinct = written(able.groupBy("label", "unit").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
     n = distinct.count()
-    width_counts = distinct.groupBy(F.octet_length("unit").alias("w")).count().collect()
-    widest = max((r["w"] for r in width_counts), default=0)
-    distinct = distinct.where(F.octet_length("unit") == widest)
-    labels = max(1, distinct.select("label").distinct().count())
-    k = int(min(MAX_CELLS, max(1, math.ceil(n / labels / CELL_ROWS))))
+    width = F.octet_length("unit").alias("width")
+    sizes = {r["width"]: (r["n"], r["labels"]) for r in distinct.groupBy(width).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()}
     share = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(1, n)))
-    sample = distinct.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).orderBy("id", "label").select("unit").toArrow().column(0).to_pylist()
-    x = np.array([np.frombuffer(u) for u in sample]).reshape(-1, widest // 8 if widest else 1)
-    centres = spark.sparkContext.broadcast(spherical_kmeans(x, k) if len(x) else np.ones((1, max(1, widest // 8))))
+    sample: dict[int, list[bytes]] = {}
+    for u in distinct.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).orderBy("id", "label").select("unit").toArrow().column(0).to_pylist():
+        sample.setdefault(len(u), []).append(u)
+    # each width has its own centres; one of which too few are sampled is a single cell
+    fitted = {}
+    for w, units in sample.items():
+        of_width, labels = sizes[w]
+        k = int(min(MAX_CELLS, max(1, math.ceil(of_width / labels / CELL_ROWS))))
+        fitted[w] = spherical_kmeans(np.array([np.frombuffer(u) for u in units]), k)
+    centres = spark.sparkContext.broadcast(fitted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([np.frombuffer(u) for u in batch.column(1).to_pylist()])
-            row, cell, home = cells_of(x, centres.value, threshold)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["label", "cell", "home", "unit", "id", "n"])
-
-    dealt = written(distinct.select("label", "unit", "id", "n").mapInArrow(deal, f"label {label_type}, cell int, home boolean, unit binary, id bigint, n bigint"), "cells")
+            units = batch.column(1).to_pylist()
+            of_width: dict[int, list[int]] = {}
+            for i, u in enumerate(units):
+                of_width.setdefault(len(u), []).append(i)
+            for w, at in of_width.items():
+                x = np.array([np.frombuffer(units[i]) for i in at])
+                row, cell, home = cells_of(x, centres.value.get(w, np.ones((1, w // 8))), threshold)
+                take = pa.array(np.array(at)[row])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(row), w, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["label", "width", "cell", "home", "unit", "id", "n"])
+
+    dealt = written(distinct.select("label", "unit", "id", "n").mapInArrow(deal, f"label {label_type}, width int, cell int, home boolean, unit binary, id bigint, n bigint"), "cells")
     # a cell is cut into blocks by a hash, and each task compares two blocks of it: a cell of any
     # size is never in one task
-    size = dealt.groupBy("label", "cell").agg(F.count("*").alias("size"))
-    blocks = dealt.join(size, ["label", "cell"]).withColumn("blocks", F.ceil(F.col("size") / (2 * CELL_ROWS)).cast("int")).drop("size")
+    size = dealt.groupBy("label", "width", "cell").agg(F.count("*").alias("size"))
+    blocks = dealt.join(size, ["label", "width", "cell"]).withColumn("blocks", F.ceil(F.col("size") / (2 * CELL_ROWS)).cast("int")).drop("size")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     as_home = blocks.where("home").withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
     as_other = blocks.withColumn("y", F.col("block")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(False))
-    task = as_home.unionByName(as_other).select("label", "cell", "x", "y", "side", "id", "n", "unit")
+    task = as_home.unionByName(as_other).select("label", "width", "cell", "x", "y", "side", "id", "n", "unit")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         home, other = pdf[pdf.side], pdf[~pdf.side]
@@ -149,11 +159,11 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
         some = count > 0
         a = np.r_[home.id.to_numpy()[some], pairs[:, 0]]
         b = pd.arrays.IntegerArray(np.r_[np.zeros(some.sum(), np.int64), pairs[:, 1]], np.arange(len(a)) < some.sum())
-        return pd.DataFrame({"label": pd.Series([key[0]] * len(a), dtype=object), "a": a, "b": b, "links": np.r_[count[some], np.zeros(len(pairs), np.int64)]})
+        return pd.DataFrame({"label": pd.Series([key[0]] * len(a), dtype=object), "width": np.full(len(a), key[1], np.int32), "a": a, "b": b, "links": np.r_[count[some], np.zeros(len(pairs), np.int64)]})
 
-    found = written(task.groupBy("label", "cell", "x", "y").applyInPandas(compare, f"label {label_type}, a bigint, b bigint, links bigint"), "links")
-    counted = found.where("b IS NULL").groupBy("label", F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
-    reps = distinct.select("label", "unit", F.col("id").alias("rep"), "n").join(counted, ["label", "rep"], "left")
+    found = written(task.groupBy("label", "width", "cell", "x", "y").applyInPandas(compare, f"label {label_type}, width int, a bigint, b bigint, links bigint"), "links")
+    counted = found.where("b IS NULL").groupBy("label", "width", F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
+    reps = distinct.select("label", "unit", width, F.col("id").alias("rep"), "n").join(counted, ["label", "width", "rep"], "left").drop("width")
     linked = written(able.join(reps, ["label", "unit"]).select("id", "rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "nodes")
     edges = found.where("b IS NOT NULL").select("a", "b").unionAll(linked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     component = component_labels(edges, "a", "b").select(F.col("id").alias("node"), "component")
