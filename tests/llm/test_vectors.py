@@ -115,3 +115,20 @@ def test_near_duplicates_beside_a_batch_of_wider_vectors(spark, rows):
     one = spark.createDataFrame([(20_000, [1.0] * 9, 1)], schema).coalesce(1)
     got = embedding_near_duplicates(spark.createDataFrame(narrow, schema).coalesce(1).union(one)).collect()
     assert len(got) == len(narrow) + 1 and sum(r["n_links"] > 0 for r in got) > 50
+
+
+def test_top_k_where_short_vectors_come_before_long_ones(spark, monkeypatch):
+    """A task may read a file of short vectors and then one of longer ones, in one batch."""
+    from weftgraph.llm import topk
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 4)) * np.where(np.arange(6000) < 4000, 0.01, 1.0)[:, None]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    plain = topk.written
+    turned = lambda df, label="t": plain(df.orderBy("length").coalesce(1) if label == "ordered" else df, label)
+    monkeypatch.setattr(topk, "written", turned)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(df, every=500).collect())
+    w = np.floor(256 * x).astype(int)
+    want = [(q, r, i, -s) for q in range(0, 6000, 500) for r, (s, i) in enumerate(sorted((-int(w[q] @ w[i]), i) for i in range(6000) if i != q)[:5], 1)]
+    assert got == want

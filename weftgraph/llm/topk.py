@@ -38,7 +38,7 @@ def rotation(gram: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Top ``k`` of a set of queries over blocks of candidates that come by descending length."""
+    """Top ``k`` of a set of queries over blocks of candidates, best by descending length."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.rows, self.q, self.v, self.k = ids, rows, q, v, k
@@ -50,13 +50,13 @@ class Searcher:
         self.bar = floor.astype(np.float64)  # the k-th score so far; what is below it is out
         self.heaps: list[list] = [[] for _ in ids]
 
-    def block(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> bool:
-        """Take in one block; False if no query can gain from it."""
+    def block(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+        """Take in one block; its own greatest length rules out queries that can't gain from it."""
         length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
         slack = 1e-6 * (1 + self.length * length.max(initial=0))  # rounding of the bounds
         alive = np.flatnonzero(self.length * length.max(initial=0) + slack >= self.bar)
         if not len(alive):
-            return False
+            return
         turned = x @ self.v
         lead, rest = turned[:, : self.lead], np.sqrt((turned[:, self.lead :] ** 2).sum(axis=1))
         bound = self.turned[alive] @ lead.T + self.rest[alive, None] * rest + slack[alive, None]
@@ -74,7 +74,6 @@ class Searcher:
                     heapq.heapreplace(heap, item)
             if len(heap) == self.k:
                 self.bar[q] = max(self.bar[q], heap[0][0])
-        return True
 
 
 def unpack(units: list[bytes]) -> np.ndarray:
@@ -93,7 +92,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
     Candidates are written once, by descending length, and read by each pass over the queries,
     which are broadcast in batches of bounded size, so nothing but k rows a query and task is
     shuffled.  Within a task the first singular directions bound a score from above; only what
-    the bound lets through is multiplied out, and a task stops where lengths alone rule out more.
+    the bound lets through is multiplied out, and a block is passed over where lengths alone rule
+    it out.
     """
     spark = vectors.sparkSession
 
@@ -151,8 +151,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
             for batch in batches:
                 for a in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(a, BLOCK)
-                    if not finder.block(part.column(1).to_numpy(), part.column(0).to_numpy(), unpack(part.column(2).to_pylist())):
-                        break
+                    # later rows may be longer: a task, and so a batch, can hold the files of several ranges
+                    finder.block(part.column(1).to_numpy(), part.column(0).to_numpy(), unpack(part.column(2).to_pylist()))
             got = [(int(q_rows[i]), int(q_ids[i]), -neg, s) for i, heap in enumerate(finder.heaps) for s, neg in heap]
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(4)], names=["q_row", "query_id", "id", "score"])
 
