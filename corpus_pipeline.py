@@ -33,10 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    classes = jaccard_components(docs.select("doc_id", "text"), percent=85, width=4)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates one row stays, of the smallest id; of rows that repeat an
+    id each is judged by its own text.  A row without words is a group of its own, and so is a
+    row without an id, as in op8: these all stay."""
+    key = "row_of_near_duplicates"
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    named = keyed.where("doc_id IS NOT NULL")
+    classes = jaccard_components(named.select(key, "text"), percent=85, width=4, id_col=key)
+    groups = classes.join(named.select(key, "doc_id"), key).groupBy("component_id")
+    kept = groups.agg(F.min(F.struct("doc_id", key)).alias("r")).select(f"r.{key}")
+    one = keyed.join(kept, key, "left_semi").select(docs.columns)
+    return one.unionAll(keyed.where("doc_id IS NULL").select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

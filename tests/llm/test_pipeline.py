@@ -74,3 +74,14 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{BIG}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, text, "a"), (7, text, "a"), (9, text + " end", "b"), (3, other, "c"), (3, "a text of its own under the same id", "d")]
+    rows += [(None, "unique and without an id", "e"), (None, text, "f"), (5, "", "g"), (6, None, "h"), (2, other + " x", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = pipeline.near_duplicates(spark, docs, BIG)
+    assert got.columns == docs.columns
+    assert sorted(r["source"] for r in got.collect()) == ["a", "d", "e", "f", "g", "h", "i"]
