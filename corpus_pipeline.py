@@ -18,25 +18,34 @@ from weftgraph.llm.toxicity import score_toxicity
 from weftgraph.plans.lineage import written
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it, in any letter case."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go.  Labels of one fold of three are never learned."""
     learn = table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 3, 1))
-    scored = score_toxicity(docs, learn, threshold=0.7)
-    return scored.where("predicted = 0").select(docs.columns)
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    scored = score_toxicity(docs, learn, threshold=0.7, score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 0).select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language is unknown or other than the one they name.  A document that
     names none stays if any language is recognised."""
-    named = identify_language(docs, docs.where(~in_fold(F.col("doc_id"), 3, 1)))
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred")))).select(docs.columns)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "score")
+    named = identify_language(docs, docs.where(~in_fold(F.col("doc_id"), 3, 1)), pred_col=pred, score_col=score)
+    return named.where((F.col(pred) != UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col(pred)))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays, of the smallest id; of rows that repeat an
     id each is judged by its own text.  A row without words is a group of its own, and so is a
     row without an id, as in op8: these all stay."""
-    key = "row_of_near_duplicates"
+    key = unused(docs, "row_of_near_duplicates")
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     named = keyed.where("doc_id IS NOT NULL")
     classes = jaccard_components(named.select(key, "text"), percent=85, width=4, id_col=key)

@@ -15,7 +15,8 @@ from weftgraph.llm.langid import identify_language, letters
 from weftgraph.llm.lm import END, in_states, score_texts, smoothed
 from weftgraph.llm.quality import score_quality
 from weftgraph.llm.queries import op2_quality_classifier, op5_toxicity, op7_language_id, op9_lm_score
-from weftgraph.llm.toxicity import fit_softmax, score_toxicity
+from weftgraph.llm import toxicity
+from weftgraph.llm.toxicity import bag, fit_softmax, score_toxicity, subwords
 
 BIG = "/root/testdata/sf0.01"
 ODD = [None, "", "  \n", "one", "a b c", "A b  C", "!!! 123", "long " * 20000, "Ünïcode wörds ünïcode", "same text", "same text"]
@@ -83,26 +84,55 @@ def test_misspellings_share_subwords():
     plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
     some = lambda: [random.choice(plain) for _ in range(60)]
     texts = [" ".join(some() + ["worthless"] * 2) for _ in range(40)] + [" ".join(some()) for _ in range(40)]
-    soft = fit_softmax([t.encode() for t in texts], np.array([1] * 40 + [0] * 40))
-    from weftgraph.llm.toxicity import subwords
-
-    part = lambda w: soft.part_of(np.array(subwords(w))).sum()
-    assert part("worthles5") > 0 and part("worthlesss") > 0 and abs(part("alpha")) < part("w0rthless") * 2
-
-
-def plain_subwords(word):
-    marked = f"<{word}>"
-    return sorted(zlib.crc32(g.encode()) % (1 << 23) for g in [word] + [marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)])
-
+    soft = fit_softmax([bag(t.encode()) for t in texts], np.array([1] * 40 + [0] * 40))
+    for wrong in ("worthles5", "worthlesss", "w0rthless"):
+        assert soft.probability(f"alpha {wrong} beta".encode()) > soft.probability(b"alpha gamma beta")
+    assert (np.abs(soft.vectors).sum(axis=1) > 0)[np.unique(np.concatenate([bag(t.encode())[0] for t in texts]))].any()
+
+
+def plain_subwords(text):
+    """Buckets of the n-grams without inner white space, letter by letter."""
+    s, out = " " + text.lower() + " ", []
+    for n in (3, 4, 5, 6):
+        for i in range(len(s) - n + 1):
+            gram = ["\x20" if c.isspace() else c for c in s[i : i + n]]
+            if not any(c == " " for c in gram[1:-1]):
+                h = 0
+                for c in gram:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+                out.append(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % 2**64 >> 44)
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 16])
+def test_subwords_are_those_of_the_whole_text(piece, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    random.seed(3)
+    for n in (0, 1, 2, 5, 6, 7, 8, 63, 64, 65, 200, 1000):
+        text = "".join(random.choice("abcdé語 \n\t\u3000") for _ in range(n))
+        want = Counter(plain_subwords(text))
+        assert Counter(x for p in subwords(text.encode()) for x in p.tolist()) == want
+        at, share = bag(text.encode())
+        assert at.tolist() == sorted(want) and share == pytest.approx([want[x] / want.total() for x in at.tolist()])
+    assert bag(None)[0].size == bag(b"")[0].size == 0
 
-def test_subwords_of_long_words():
-    from weftgraph.llm.toxicity import PIECE, pieces, subwords
 
-    random.seed(3)
-    for n in (0, 1, 2, 63, 64, 65, 200, *range(PIECE - 8, PIECE + 4), 3 * PIECE + 1):
-        word = "".join(random.choice("abcdé語") for _ in range(n))
-        assert sorted(subwords(word)) == plain_subwords(word)
-        assert all(len(p) <= 4 * PIECE + 1 for p in pieces(word))
+def test_scores_are_the_softmax_of_a_plain_average():
+    random.seed(4)
+    texts = [" ".join(random.choices(["un", "deux", "trois", "cinq"] + ["zut"] * (i % 2), k=30)) for i in range(30)]
+    soft = fit_softmax([bag(t.encode()) for t in texts], np.arange(30) % 2)
+    for text in [*texts, "", "x", "never seen " * 9]:
+        grams = plain_subwords(text)
+        hidden = sum((soft.vectors[g].astype(float) for g in grams), np.zeros(8)) / max(1, len(grams))
+        z = hidden @ soft.weights + soft.bias
+        assert soft.probability(text.encode()) == pytest.approx(math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1])), abs=1e-4)
+
+
+def test_toxicity_recall_of_held_out_rows(spark):
+    got = op5_toxicity(spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic = [r["predicted"] for r in got if r["toxic"] == 1]
+    clean = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.02
 
 
 def test_toxicity_late_in_a_text_without_spaces(spark):

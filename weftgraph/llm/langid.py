@@ -120,23 +120,24 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return Profiles({k: np.array(v, dtype=np.int64) for k, v in of_language.items()}, size)
 
 
-def identify_language(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (0 to 1); columns of these names are replaced.
+def identify_language(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` with ``pred_col`` and ``score_col`` (0 to 1); columns of these names
+    are replaced, so a caller who needs them picks other names.
 
     ``learn`` holds the rows to learn from, with their languages; of ``docs`` only the whole text
     enters a prediction.  A null text or one without a letter is ``und`` with score 0, and so is
     every text if there is nothing to learn from.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_profiles(learn, id_col, text_col, lang_col))
-    bare = docs.drop("lang_pred", "score")
+    bare = docs.drop(pred_col, score_col)
     names, at = bare.columns, bare.columns.index(text_col)
-    schema = T.StructType([*bare.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*bare.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.value.predict
         for batch in batches:
             texts = batch.column(at)
             got = [predict(texts[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, pred_col, score_col])
 
     return bare.mapInArrow(run, schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,195 +11,199 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Recent, as_bytes, groups_of
+from weftgraph.llm.common import as_bytes
 
 #: The model is fitted on at most about so many labelled rows of each class, picked by a hash of
-#: the id, whose texts have at most so many bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 60_000
-BUCKETS, WIDTH, SUBWORDS = 1 << 23, 8, 6_000
-#: A word's n-grams are made at so many starts at a time; only words of up to so many letters are
-#: remembered.
-PIECE = 4_096
-LONG = 64
-#: Neutral subwords that every average includes, so that one chance hit in a short text weighs less.
-NEUTRAL = 1000
-
-
-def words_of(text: bytes | None) -> list[str]:
-    return (text or b"").decode("utf-8", "replace").lower().split()
-
-
-def pieces(word: str) -> Iterator[list[int]]:
-    """Hashes of a word and of its character n-grams of 3 to 6, with its ends marked, so that a
-    misspelling shares most of them with the word meant; PIECE starts of n-grams at a time, so
-    that a text without spaces, which is one word, is never expanded at once."""
-    marked = f"<{word}>"
-    for a in range(0, len(marked), PIECE):
-        part = marked[a : a + PIECE + 5]  # n-grams that start in one piece end in the next
-        grams = [] if a else [word]
-        grams += [part[i : i + n] for n in (3, 4, 5, 6) for i in range(min(PIECE, len(part) - n + 1))]
-        yield [zlib.crc32(g.encode()) % BUCKETS for g in grams]
-
-
-def subwords(word: str) -> list[int]:
-    """All that :func:`pieces` gives of a word."""
-    return [h for piece in pieces(word) for h in piece]
+#: the id; their texts are learned whole.
+SAMPLE_ROWS = 1_500
+#: Subwords are character n-grams of these lengths, hashed into BITS bits; each bucket has a vector.
+LENGTHS, BITS, WIDTH = (3, 4, 5, 6), 20, 8
+#: A text's n-grams are made at so many starts at a time, whatever its length.
+PIECE = 1 << 16
+#: Doubts of a subword's vector: its steps are scaled by (g / (g + DOUBT)) ** 3, where g is its
+#: log-likelihood ratio between class and presence; a chance companion of a class hardly moves.
+DOUBT = 30.0
+#: The averages are multiplied by this, as a toxic word is a small part of a text.
+SCALE = 200.0
+
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def subwords(text: bytes | None) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of a whole text, lower-cased, in bounded pieces.
+
+    An n-gram may begin or end with the white space around a word, which marks the word's ends,
+    but none reaches from word to word.  A misspelling shares most of them with the word meant.
+    """
+    s = f" {(text or b'').decode('utf-8', 'replace').lower()} "
+    for a in range(0, len(s), PIECE):
+        code = np.frombuffer(s[a : a + PIECE + max(LENGTHS) - 1].encode("utf-32-le"), np.uint32)
+        white = _WHITE[np.minimum(code, len(_WHITE) - 1)]
+        code = np.where(white, 32, code).astype(np.uint64) + np.uint64(1)
+        before = np.r_[0, np.cumsum(white)]
+        h = code
+        for n in range(2, max(LENGTHS) + 1):
+            if len(code) < n:
+                break
+            h = h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
+            if n in LENGTHS:
+                inside = before[n - 1 : len(code)] - before[1 : len(code) - n + 2]  # white space within
+                x = h[:PIECE][inside[:PIECE] == 0]
+                yield (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subwords of a text and the share of each in all its subwords."""
+    total = None
+    pieces = list(subwords(text)) if text is None or len(text) <= PIECE else None
+    if pieces is not None:
+        at, n = np.unique(np.concatenate(pieces or [np.zeros(0, np.int32)]), return_counts=True)
+    else:
+        total = np.zeros(1 << BITS, np.int64)
+        for p in subwords(text):
+            total += np.bincount(p, minlength=1 << BITS)
+        at = np.flatnonzero(total).astype(np.int32)
+        n = total[at]
+    return at, (n / max(1, n.sum())).astype(np.float32)
 
 
 @dataclass
 class Softmax:
-    """``vectors`` (a row for each of ``keys``, sorted hashes of subwords; all others are zero),
-    ``weights`` (width x 2), ``bias`` (2).
+    """``vectors`` (one a bucket), ``weights`` (width x 2), ``bias`` (2).
 
-    The average over a text's subwords is linear in them, so scoring needs only one number a
-    subword: its vector's part of the difference between the two logits.
+    The average of a text's vectors enters the softmax linearly, so scoring needs one number a
+    bucket: its vector's part of the difference between the two logits.
     """
 
-    keys: np.ndarray
     vectors: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     parts: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.parts = (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(float)
-
-    def part_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.parts[at], 0.0)
-
-    def probability(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        z = total / (n + NEUTRAL) + (self.bias[1] - self.bias[0])
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def telling_subwords(ids: list[np.ndarray], y: np.ndarray, limit: int) -> np.ndarray:
-    """The subwords that tell the classes apart: in three texts or more, and the ``limit`` highest
-    log-likelihood ratios between class and presence, of those over 10."""
-    df = [np.bincount(np.concatenate([i for i, k in zip(ids, y, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for c in (0, 1)]
-    seen = np.flatnonzero(df[0] + df[1] >= 3)
-    n1, n = float(y.sum()), float(len(y))
-    b, a = df[0][seen].astype(float), df[1][seen].astype(float)
-    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / e), 0)
-    with_it = (a + b) / n
-    g = 2 * (part(a, n1 * with_it) + part(b, (n - n1) * with_it) + part(n1 - a, n1 * (1 - with_it) + 1e-9) + part(n - n1 - b, (n - n1) * (1 - with_it) + 1e-9))
-    order = np.lexsort((seen, -g))[:limit]
-    return np.sort(seen[order[g[order] > 10]])
-
-
-def fit_softmax(texts: list[bytes], y: np.ndarray, epochs: int = 40, batch: int = 32, rate: float = 0.05, decay: float = 1e-3, seed: int = 1) -> Softmax:
-    """Vectors and softmax weights trained together by AdaGrad on the mean log loss, classes
-    weighted alike.  Texts that repeat are learned from once.
-
-    With no rows or one class the score is constant.
+        self.parts = (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
+
+    def probability(self, text: bytes | None) -> float:
+        """Probability of label 1: the softmax of the average over all the text's subwords."""
+        return score_by_parts(self.parts, float(self.bias[1] - self.bias[0]), text)
+
+
+def score_by_parts(parts: np.ndarray, bias: float, text: bytes | None) -> float:
+    total, n = 0.0, 0
+    for p in subwords(text):
+        total += float(parts[p].sum(dtype=np.float64))
+        n += len(p)
+    z = (total / n if n else 0.0) + bias
+    return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+
+
+def told_apart(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """For each bucket how well its presence tells the classes apart: a log-likelihood ratio."""
+    with0, with1 = (np.zeros(1 << BITS, np.int64) for _ in range(2))
+    for (at, _), k in zip(bags, y, strict=True):
+        (with1 if k else with0)[at] += 1
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+    share = (with0 + with1) / len(y)
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-12)), 0)
+    return np.maximum(0, 2 * (part(with1, n1 * share) + part(with0, n0 * share) + part(n1 - with1, n1 * (1 - share)) + part(n0 - with0, n0 * (1 - share))))
+
+
+def fit_softmax(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 3.0, decay: float = 1e-4, seed: int = 1) -> Softmax:
+    """Vectors and softmax weights trained together by gradient steps on the mean log loss, the
+    classes weighted alike.  Bags that repeat are learned from once.
+
+    Each step moves the vectors of all subwords in its texts, by as much as DOUBT says.  With two
+    classes the two errors of a softmax are opposite, so a subword's gradient is one number times
+    the difference of the two weight columns.  With no rows or one class the score is constant.
     """
+    once = {(at.tobytes(), share.tobytes(), int(k)): i for i, ((at, share), k) in reversed(list(enumerate(zip(bags, y, strict=True))))}
+    keep = sorted(once.values())
+    bags, y = [bags[i] for i in keep], np.asarray(y, np.int64)[keep]
     rng = np.random.default_rng(seed)
-    once = dict(zip(texts, (int(k) for k in y), strict=True))
-    texts, y = list(once), np.array(list(once.values()), dtype=np.int64)
     weights, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    part = (y.sum() + 0.5) / (len(y) + 1.0)
     if not len(y) or y.min() == y.max():
-        return Softmax(np.zeros(0, np.int64), np.zeros((0, WIDTH)), weights, np.array([0, np.log(share / (1 - share))]))
-    ids, amounts, known = [], [], {}
-    for text in texts:
-        bag = Counter(words_of(text))
-        for w in bag:
-            if w not in known and len(w) <= LONG:
-                known[w] = np.array(subwords(w), np.int32)
-        each = [known[w] if w in known else np.concatenate([np.array(p, np.int32) for p in pieces(w)]) for w in bag] or [np.zeros(1, np.int32)]
-        times = np.repeat(np.fromiter(bag.values(), np.float64, len(bag)), [len(x) for x in each]) if bag else np.zeros(1)
-        at, slot = np.unique(np.concatenate(each), return_inverse=True)
-        ids.append(at)
-        amounts.append((np.bincount(slot, times) / (times.sum() + NEUTRAL)).astype(np.float32))
-    known.clear()
-    keys = telling_subwords(ids, y, SUBWORDS)
-    for i, at in enumerate(ids):
-        slot = np.minimum(np.searchsorted(keys, at), max(0, len(keys) - 1))
-        has = keys[slot] == at if len(keys) else np.zeros(len(at), bool)
-        # a last, always zero slot keeps texts without any telling subword in the batch
-        ids[i], amounts[i] = np.r_[slot[has], len(keys)], np.r_[amounts[i][has], 0].astype(np.float32)
-    vectors = rng.normal(0, 0.1, (len(keys) + 1, WIDTH)).astype(np.float32)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    # a toxic word is a small part of a long text: the mean is scaled so that it still counts
-    scale = np.float32(200)
-    g_vec, g_w, g_b = np.full(len(vectors), 1e-6, np.float32), np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
+        return Softmax(np.zeros((1 << BITS, WIDTH), np.float32), weights, np.array([0, np.log(part / (1 - part))]))
+    g = told_apart(bags, y)
+    trust = ((g / (g + DOUBT)) ** 3).astype(np.float32)
+    vectors = rng.normal(0, 0.01, (1 << BITS, WIDTH)).astype(np.float32) * trust[:, None]
+    weight = np.where(y == 1, 0.5 / part, 0.5 / (1 - part)).astype(np.float32)
+    g_w, g_b = np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
+    batches = []
+    for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+        at, slot = np.unique(np.concatenate([bags[r][0] for r in rows]), return_inverse=True)
+        batches.append((rows, at, slot.astype(np.int32), np.concatenate([bags[r][1] for r in rows]) * np.float32(SCALE), np.array([len(bags[r][0]) for r in rows])))
+        for r in rows:
+            bags[r] = None  # the batch holds it now
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-            size = np.array([len(ids[r]) for r in rows])
-            at, amount = np.concatenate([ids[r] for r in rows]), np.concatenate([amounts[r] for r in rows])
-            owner, starts = np.repeat(np.arange(len(rows)), size), np.r_[0, np.cumsum(size)[:-1]]
-            hidden = scale * np.add.reduceat(vectors[at] * amount[:, None], starts, axis=0)
-            z = hidden @ weights + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            err = (p - np.eye(2, dtype=np.float32)[y[rows]]) * (weight[rows] / len(rows))[:, None]
-            into, back = hidden.T @ err + decay * weights, scale * (err @ weights.T)
-            g_w += into**2
-            weights -= step * into / np.sqrt(g_w)
-            g_b += err.sum(axis=0) ** 2
-            bias -= step * err.sum(axis=0) / np.sqrt(g_b)
-            grad = np.stack([np.bincount(at, amount * back[owner, j], len(vectors)) for j in range(WIDTH)], axis=1).astype(np.float32)
-            grad += decay / len(vectors) * vectors
-            g_vec += (grad**2).mean(axis=1)
-            vectors -= step * grad / np.sqrt(g_vec)[:, None]
-    return Softmax(keys, vectors[:-1] * scale, weights, bias.astype(float))
+        small = step / np.float32(rate) * np.float32(0.5)
+        for b in rng.permutation(len(batches)):
+            rows, at, slot, amount, size = batches[b]
+            owner = np.repeat(np.arange(len(rows)), size)
+            mine, apart = vectors[at], weights[:, 1] - weights[:, 0]
+            z = np.bincount(owner, amount * (mine @ apart)[slot], len(rows)) + (bias[1] - bias[0])
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            err = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
+            back = np.bincount(slot, amount * err[owner], len(at)).astype(np.float32)
+            into = mine.T @ back
+            grad_w, grad_b = np.stack([-into, into], axis=1) + decay * weights, np.array([-err.sum(), err.sum()], np.float32)
+            g_w += grad_w**2
+            weights -= small * grad_w / np.sqrt(g_w)
+            g_b += grad_b**2
+            bias -= small * grad_b / np.sqrt(g_b)
+            vectors[at] = mine * (1 - np.float32(decay) * step) - (step * trust[at] * back)[:, None] * apart
+    return Softmax(vectors * np.float32(SCALE), weights, bias.astype(float))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Softmax:
-    """A model of ``labels`` (ids and 0/1), from at most about ``sample_rows`` texts of each class."""
-    use = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    """A model of ``labels`` (ids and 0/1), from at most about ``sample_rows`` texts of each class.
+
+    Tasks turn the sampled texts into bags; the driver gets those, none over one entry a bucket.
+    """
+    use = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in use.groupBy("y").count().collect()}
     share = F.lit(0)
     for k in n:
         share = F.when(F.col("y") == k, F.lit(int(1_000_000 * min(1.0, sample_rows / n[k])))).otherwise(share)
     picked = use.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(id_col, "y")
-    texts = docs.select(id_col, F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(as_bytes(batch.column(1))):
+                at, part = bag(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([at.tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary()), batch.column(2).slice(i, 1)], names=["id", "at", "share", "y"])
+
+    id_type = labels.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     # a repeated id has one text to learn from, the smallest, so a join can't multiply the sample
-    rows = texts.join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min(F.struct("text", "y")).alias("r")).orderBy(id_col).select("r.text", "r.y").toArrow()
-    return fit_softmax(as_bytes(rows.column(0)), rows.column(1).to_numpy())
+    rows = texts.join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min(F.struct("text", "y")).alias("r")).select(F.col(id_col).cast(id_type), "r.text", "r.y")
+    got = rows.mapInArrow(bags_of, f"id {id_type}, at binary, share binary, y int").orderBy("id").select("at", "share", "y").toArrow()
+    bags = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for a, s in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
+    y = got.column(2).to_numpy()
+    del got
+    return fit_softmax(bags, y)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """All columns of ``docs`` with score (of label 1) and predicted; a column of either name
-    is replaced.
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """All columns of ``docs`` with ``score_col`` (of label 1) and ``predicted_col``; a column of
+    either name is replaced, so a caller who needs it picks other names.
 
     ``labels`` holds the rows to learn from; only the text enters a score.  Every whole text is
-    averaged over all its words, and a word, however long, over all its subwords.  Null and empty texts get the score of the bias alone.
+    averaged over all its subwords.  Null and empty texts, and those of a single letter without
+    white space around it, get the score of the bias alone or of what little they hold.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, label_col))
-    bare = docs.drop("score", "predicted")
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col)
+    sent = docs.sparkSession.sparkContext.broadcast((model.parts, float(model.bias[1] - model.bias[0])))
+    bare = docs.drop(score_col, predicted_col)
     names, at = bare.columns, bare.columns.index(text_col)
-    schema = T.StructType([*bare.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*bare.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        soft = model.value
-
-        def make(words: list[str]) -> list[tuple[float, int]]:
-            got = [subwords(w) for w in words]
-            size = np.array([len(g) for g in got])
-            sums = np.add.reduceat(soft.part_of(np.concatenate([np.asarray(g) for g in got])), np.r_[0, np.cumsum(size)[:-1]])
-            return list(zip(sums.tolist(), size.tolist(), strict=True))
-
-        def of_long(word: str) -> tuple[float, int]:
-            parts = [(soft.part_of(np.asarray(p)).sum(), len(p)) for p in pieces(word)]
-            return sum(s for s, _ in parts), sum(k for _, k in parts)
-
-        of_word = Recent(make)
+        parts, bias = sent.value
         for batch in batches:
-            texts, scores = as_bytes(batch.column(at)), []
-            for a, b in groups_of(texts):
-                bags = [Counter(words_of(t)) for t in texts[a:b]]
-                known = of_word.fill({w for bag in bags for w in bag if len(w) <= LONG})
-                total, n = np.zeros(b - a), np.zeros(b - a)
-                for i, bag in enumerate(bags):
-                    for w, c in bag.items():
-                        s, k = known[w] if len(w) <= LONG else of_long(w)
-                        total[i] += c * s
-                        n[i] += c * k
-                scores.append(soft.probability(total, n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*names, "score"])
-
-    return bare.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+            texts = batch.column(at).cast(pa.large_binary())
+            scores = [score_by_parts(parts, bias, t.as_py()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, score_col])
+
+    return bare.mapInArrow(run, schema).withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0))
