@@ -9,13 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.llm import jaccard, toxicity
 from weftgraph.llm.gbt import fit_trees
-from weftgraph.llm.jaccard import ORDERS, jaccard_components, prefix, shingle_set
+from weftgraph.llm.jaccard import ORDERS, SKETCH, jaccard_components, may_link, prefix, shingle_set, short_prefix, sketch
 from weftgraph.llm.langid import identify_language, letters
 from weftgraph.llm.lm import END, in_states, score_texts, smoothed
 from weftgraph.llm.quality import score_quality
 from weftgraph.llm.queries import op2_quality_classifier, op5_toxicity, op7_language_id, op9_lm_score
-from weftgraph.llm import toxicity
 from weftgraph.llm.toxicity import bag, fit_softmax, score_toxicity, subwords
 
 BIG = "/root/testdata/sf0.01"
@@ -227,6 +227,32 @@ def test_linked_sets_share_a_prefix_token_under_every_order():
             assert len(np.intersect1d(prefix(s, 85, ORDERS[0], frequent, 8), prefix(t, 85, ORDERS[0], frequent, 8)))
 
 
+def test_further_orders_rule_pairs_out_and_lose_no_link():
+    random.seed(7)
+    out = linked = 0
+    for _ in range(400):
+        words = [str(random.randrange(10**6)) for _ in range(120)]
+        other = list(words)
+        for _ in range(random.choice([0, 1, 2, 6, 40, 90])):
+            other[random.randrange(len(other))] = str(random.random())
+        s, t = shingle_set(" ".join(words).encode()), shingle_set(" ".join(other).encode())
+        short = [[short_prefix(x, 85, k) for k in ORDERS[1:]] for x in (s, t)]
+        bits = b"\0" * (SKETCH // 8)  # equal sketches rule nothing out
+        may = may_link(len(s), bits, short[0], len(t), bits, short[1], 85)
+        both = len(np.intersect1d(s, t))
+        if 100 * both >= 85 * (len(s) + len(t) - both):
+            linked += 1
+            assert may and may_link(len(s), sketch(s), short[0], len(t), sketch(t), short[1], 85)
+        out += not may
+    assert linked > 50 and out > 10
+
+
+def test_ngram_join_with_small_blocks_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "STAR", 3)
+    test_ngram_join_against_all_pairs(spark)
+
+
 def test_lm_base_and_gain(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     got = {r["doc_id"]: r for r in op9_lm_score(spark, BIG).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes
 from weftgraph.operators.components import component_labels
-from weftgraph.plans.lineage import release, written
+from weftgraph.plans.lineage import forget, release, written
 
 #: So many of the most frequent shingles have their frequencies broadcast; they come last in the
 #: first order.  Any set of shingles gives a valid order, so the bound costs no link.
@@ -23,8 +24,11 @@ FREQUENT, LEAST_FREQUENT = 200_000, 8
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of the parity sketch that bounds overlaps from above.
 SKETCH = 1_024
-#: Up to so many distinct texts that share a prefix token are found again by a broadcast of ids.
+#: Up to so many texts to verify are found by a broadcast of ids, beyond it by a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: A text is verified against at most so many others in one task; a list of more members than
+#: BLOCK is compared in pairs of blocks.
+STAR, BLOCK = 512, 4_096
 #: A task hands its hashes on when it holds so many.
 HELD = 2_000_000
 
@@ -82,9 +86,26 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
-def fingerprint(s: np.ndarray) -> int:
+def fingerprint(s: np.ndarray, seed: int = 0) -> int:
     """A 64-bit number for the whole set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed) - (1 << 63)
+
+
+def short_prefix(s: np.ndarray, percent: int, seed: int) -> bytes:
+    """The prefix under one order as sorted 32-bit numbers: two sets that share a token share a
+    number, so what these rule out is out for certain."""
+    return np.unique((mix(prefix(s, percent, seed), ORDERS[1]) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def may_link(n_a: int, bits_a: bytes, orders_a: list[bytes], n_b: int, bits_b: bytes, orders_b: list[bytes], percent: int) -> bool:
+    """Whether two sets may reach the threshold by their sizes, their sketches and their prefixes
+    under the orders after the first."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    apart = int(np.bitwise_count(np.frombuffer(bits_a, np.uint64) ^ np.frombuffer(bits_b, np.uint64)).sum())
+    if apart * (100 + percent) > (n_a + n_b) * (100 - percent):
+        return False
+    return all(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True).any() for x, y in zip(orders_a, orders_b, strict=True))
 
 
 def by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice, np.ndarray]]:
@@ -99,16 +120,17 @@ def by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice, np.nd
 def frequent_shingles(texts: DataFrame, width: int, bits: int) -> np.ndarray:
     """Fingerprints of the shingles in most texts, with a rank that is higher for more texts.
 
-    Every text's every shingle is counted: tasks hand on 32 bits of each, packed by bucket.
+    Every text's every shingle is counted, in each task first: tasks hand on 32 bits of each
+    distinct one and its count, packed by bucket, so a shingle that is everywhere is a row a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate(held)
-            got = [(b, prints(hashes[o[at]], bits).astype(np.uint32).tobytes()) for b, at, o in by_bucket(hashes, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "low"])
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            got = [(b, prints(hashes[o[at]], bits).astype(np.uint32).tobytes(), n[o[at]].astype(np.uint32).tobytes()) for b, at, o in by_bucket(hashes, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "low", "n"])
 
         for batch in batches:
             for text in as_bytes(batch.column(0)):
@@ -121,60 +143,67 @@ def frequent_shingles(texts: DataFrame, width: int, bits: int) -> np.ndarray:
             yield from out()
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, n = np.unique(np.frombuffer(b"".join(pdf.low), np.uint32), return_counts=True)
+        low, slot = np.unique(np.frombuffer(b"".join(pdf.low), np.uint32), return_inverse=True)
+        n = np.bincount(slot, np.frombuffer(b"".join(pdf.n), np.uint32)).astype(np.int64)
         often = n >= LEAST_FREQUENT
-        return pd.DataFrame({"print": (np.int64(key[0]) << 32) | low[often].astype(np.int64), "n": n[often].astype(np.int64)})
+        return pd.DataFrame({"print": (np.int64(key[0]) << 32) | low[often].astype(np.int64), "n": n[often]})
 
-    rows = texts.select("text").mapInArrow(run, "bucket bigint, low binary").groupBy("bucket").applyInPandas(count, "print bigint, n bigint")
+    rows = texts.select("text").mapInArrow(run, "bucket bigint, low binary, n binary").groupBy("bucket").applyInPandas(count, "print bigint, n bigint")
     top = rows.orderBy(F.desc("n"), "print").limit(FREQUENT).toArrow()
     out = np.zeros(top.num_rows, dtype=[("print", np.uint64), ("rank", np.int64)])
     out["print"], out["rank"] = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
     return np.sort(out, order="print")
 
 
-def sharing_lists(texts: DataFrame, width: int, percent: int, bits: int, frequent) -> DataFrame:
-    """(list, fp): for each token in the first-order prefix of more than one distinct set, those
-    sets; a list that several tokens give comes once."""
+def described(texts: DataFrame, width: int, percent: int, bits: int, frequent, seed: int) -> DataFrame:
+    """(id, n, fp, bits, first, orders) for each text: the size of its set, its fingerprint and
+    sketch, and once a task for each distinct set its prefix under the first order and its short
+    prefixes under the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, size, seen = [], [], 0, set()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            tokens, who = np.concatenate(held), np.concatenate(owners)
-            got = [(b, tokens[o[at]].tobytes(), who[o[at]].tobytes()) for b, at, o in by_bucket(tokens, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "tokens", "who"])
-
+        seen: set = set()
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
+            n, fp, marks, first, orders = [], [], [], [], []
+            for text in as_bytes(batch.column(1)):
                 s = shingle_set(text, width)
-                if not len(s) or (fp := fingerprint(s)) in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(fp)
-                held.append(prefix(s, percent, ORDERS[0], frequent.value, bits))
-                owners.append(np.full(len(held[-1]), fp, np.int64))
-                size += len(held[-1])
-                if size > HELD // 2:
-                    yield from out()
-                    held, owners, size = [], [], 0
-        if size:
-            yield from out()
+                n.append(len(s))
+                fp.append(fingerprint(s, seed) if len(s) else None)
+                marks.append(sketch(s) if len(s) else None)
+                new = len(s) > 0 and fp[-1] not in seen
+                if new and len(seen) < 500_000:
+                    seen.add(fp[-1])
+                first.append(prefix(s, percent, ORDERS[0], frequent.value, bits).view(np.int64) if new else None)
+                orders.append([short_prefix(s, percent, k) for k in ORDERS[1:]] if new else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(marks, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(orders, pa.list_(pa.binary()))],
+                names=["id", "n", "fp", "bits", "first", "orders"],
+            )
+
+    id_type = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {id_type}, n bigint, fp bigint, bits binary, first array<bigint>, orders array<binary>")
+
+
+def sharing_lists(sets: DataFrame) -> DataFrame:
+    """(list, fp, pivot): the distinct sets of each token that is in the first-order prefix of
+    more than one, and the least of them."""
+    entries = sets.where("first IS NOT NULL").select(F.explode("first").alias("list"), "fp")
+    shared = entries.groupBy("list").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").drop("last")
+    return entries.join(shared, "list").distinct()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, who = np.frombuffer(b"".join(pdf.tokens), np.uint64), np.frombuffer(b"".join(pdf.who), np.int64)
-        order = np.lexsort((who, tokens))
-        tokens, who = tokens[order], who[order]
-        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])]
-        tokens, who = tokens[first], who[first]
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        ends = np.r_[starts[1:], len(tokens)]
-        lists = {}
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            lists.setdefault(xxhash.xxh3_64_intdigest(who[a:b].tobytes()) - (1 << 63), who[a:b])
-        return pd.DataFrame({"list": np.fromiter(lists.keys(), np.int64, len(lists)), "members": pd.Series(list(lists.values()), dtype=object)})
 
-    met = texts.select("text").mapInArrow(run, "bucket bigint, tokens binary, who binary").groupBy("bucket").applyInPandas(meet, "list bigint, members array<bigint>")
-    return met.groupBy("list").agg(F.first("members").alias("members")).select("list", F.explode("members").alias("fp"))
+def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes, sketches and all further orders let through; no text is read.
+    ``marks`` holds fp, n, bits and orders of each distinct set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)
+            keep = pa.array([may_link(*r, percent) for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    side = lambda x: marks.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "orders")])
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "n_a", "bits_a", "orders_a", "n_b", "bits_b", "orders_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def partners(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, cap: int) -> tuple[list, bool]:
@@ -246,38 +275,52 @@ def candidate_pairs(members: DataFrame, percent: int, cap: int) -> DataFrame:
         if kept:
             yield from work(pa.Table.from_batches(kept))
 
-    dealt = members.select("list", "fp", "n", "bits", "comp").repartition("list").sortWithinPartitions("list", "fp")
+    # a long list becomes a list for each pair of its blocks
+    size = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = members.join(size, "list").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block")))
+    cut = cut.withColumn("other", F.explode(other))
+    part = F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))
+    cut = cut.withColumn("list", F.when(F.col("blocks") == 1, F.col("list")).otherwise(part))
+    dealt = cut.select("list", "fp", "n", "bits", "comp").repartition("list").sortWithinPartitions("list", "fp")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share a prefix token under every order and reach the threshold.
-    ``texts`` has one text for each fp."""
+def verified(pairs: DataFrame, ids: DataFrame, texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, tuple] = {}
-
-        def of(fp: int, text: bytes) -> tuple:
-            if fp not in sets:
-                if len(sets) > 2_000:
-                    sets.clear()
-                s = shingle_set(text, width)
-                sets[fp] = s, [np.sort(prefix(s, percent, seed)) for seed in ORDERS[1:]]
-            return sets[fp]
+    ``ids`` has an id for each fp and ``texts`` (id, text).  Each a is the centre of a star of its
+    partners; a star of many is cut into parts, so that no task holds them all.
+    """
+    size = pairs.groupBy("a").agg(F.count("*").alias("leaves"))
+    star = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("leaves") / STAR)).alias("part"))
+    rows = star.select("a", "part", F.col("b").alias("fp")).unionAll(star.select("a", "part", F.col("a").alias("fp")).distinct())
+    need = written(rows.join(ids, "fp").select("id", "fp", "a", "part"), "need")
+    n = need.count()
+    met = texts.join(F.broadcast(need) if n <= BROADCAST_IDS else need, "id").select("a", "part", "fp", "text")
+    dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("fp") != F.col("a"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
         for batch in batches:
-            fps = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            yes = []
-            for i, (a, b) in enumerate(fps):
-                (s, first), (t, second) = of(a, batch.column(2)[i].as_py()), of(b, batch.column(3)[i].as_py())
-                shared = all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(first, second, strict=True))
-                both = len(np.intersect1d(s, t, assume_unique=True)) if shared else 0
-                yes.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            keep = pa.array(yes, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+            left, right = [], []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for (a, part, fp), text in zip(keys, batch.column(3), strict=True):
+                if (a, part) != at:
+                    at, centre = (a, part), None
+                s = shingle_set(text.as_py(), width)
+                if not len(s) or fingerprint(s, seed) != fp:
+                    continue  # another text of an id that repeats
+                if fp == a:
+                    centre = s
+                elif centre is not None:
+                    both = len(np.intersect1d(s, centre, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(centre) - both):
+                        left.append(a)
+                        right.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,84 +332,76 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     with nothing, nor do rows with a null id (null component).  component_id is the smallest id
     reachable.  Rows that repeat an id are linked through it only if their texts link.
 
-    Equal sets collapse first.  Distinct sets meet where they share a prefix token of the first
-    order (rare shingles first); sizes and parity sketches rule pairs out; what is left must share
-    prefix tokens under the other orders too and is then verified on the whole sets.  Pairs
-    within a component already found are not needed; rounds go on, each allowing more partners a
-    member, until every pair across components is ruled out or verified.
+    Equal sets collapse first; should two unlike sets ever have one fingerprint, another seed is
+    taken.  Distinct sets meet where they share a prefix token of the first order (rare shingles
+    first); a pair goes on only if sizes, parity sketches and the prefixes under every other order
+    allow it, and is then verified on the whole sets.  First each set meets the least set of the
+    lists it is in, which settles most groups of copies in one linear pass; then pairs across
+    components are taken up in rounds, each allowing more partners a member, until every one is
+    ruled out or verified.
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                names=["id", "n", "fp", "bits"],
-            )
-
-    rows = written(texts.mapInArrow(describe, f"id {id_type}, n bigint, fp bigint, bits binary"), "sets")
-    able = rows.where("id IS NOT NULL AND fp IS NOT NULL")
-    bits = max(4, min(24, math.ceil(math.log2(max(2, rows.count() / 100)))))
     named = texts.where("id IS NOT NULL AND text IS NOT NULL")
+    bits = max(4, min(24, math.ceil(math.log2(max(2, docs.count() / 100)))))
     frequent = spark.sparkContext.broadcast(frequent_shingles(named, width, bits))
     release(spark)
-    lists = written(sharing_lists(named, width, percent, bits, frequent), "lists")
+    for seed in itertools.count():
+        sets = written(described(texts, width, percent, bits, frequent, seed), "sets")
+        able = sets.where("id IS NOT NULL AND fp IS NOT NULL")
+        mark = F.struct("n", "bits")
+        once = written(able.groupBy("fp").agg(F.min("id").alias("id"), F.min(mark).alias("low"), F.max(mark).alias("high")), "once")
+        if once.where("low <> high").isEmpty():
+            break
+        forget(sets)
+        forget(once)
+    ids = once.select("fp", "id")
+    lists = written(sharing_lists(able), "lists")
     release(spark)
-    once = able.groupBy("fp", "id").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits")).groupBy("fp").agg(F.min(F.struct("id", "rows", "n", "bits")).alias("r"))
-    sharing = written(lists.select("fp").distinct().join(once, "fp").select("fp", "r.*"), "sharing")
-    n_sharing, most_rows = sharing.agg(F.count("*"), F.max("rows")).first()
-    labels = None
-    if n_sharing:
-        ids = sharing.select(F.col("id"), "fp")
-        # an id may stand for other texts too, so the text must have the right set
-        found = named.join(F.broadcast(ids) if n_sharing <= BROADCAST_IDS else ids, "id").mapInArrow(_only_right(width), "fp bigint, text binary")
-        found = written(found if most_rows == 1 else found.dropDuplicates(["fp"]), "texts")
-        sketches = sharing.select("fp", "n", "bits")
-        open_lists, edges, tested, cap = lists.withColumn("comp", F.col("fp")), None, None, 1
-        while True:
-            now = open_lists.join(sketches, "fp")
-            got = written(candidate_pairs(now, percent, cap).distinct(), "candidates")
-            pairs = got.where("a IS NOT NULL")
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            new = written(verified(pairs, found, width, percent), "edges")
-            release(spark)
-            more = not got.where("a IS NULL").isEmpty()
-            tested = pairs if tested is None else tested.unionAll(pairs)
-            if not new.isEmpty():
-                edges = new if edges is None else edges.unionAll(new)
-                labels = written(component_labels(edges, "a", "b"), "labels")
-            if not more:
-                break
-            if labels is not None:  # lists that are within one component have nothing left to find
-                of = labels.select(F.col("id").alias("fp"), F.col("component").alias("found"))
-                at = open_lists.join(of, "fp", "left").select("list", "fp", F.coalesce("found", "comp").alias("comp"))
-                apart = at.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-                open_lists = written(at.join(apart, "list", "left_semi"), "open")
-            cap *= 4
-    root = F.col("fp")
-    whole = able.select("id", "n", "fp")
-    if labels is not None:
-        whole = whole.join(labels.select(F.col("id").alias("label_of"), "component"), F.col("fp") == F.col("label_of"), "left").drop("label_of")
-        root = F.coalesce("component", "fp")
-    whole = whole.withColumn("root", root).select("id", "n", "root")
+    # each set meets the pivot with which it shares most lists
+    met = lists.where("fp <> pivot").groupBy("fp", "pivot").agg(F.count("*").alias("k"))
+    nearest = met.groupBy("fp").agg(F.max(F.struct("k", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("fp").alias("b"))
+    marks = able.where("first IS NOT NULL").select("fp", "n", "bits", "orders")
+    marks = written(marks.join(lists.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "marks")
+    tested = written(passing(nearest, marks, percent), "candidates")
+    edges = written(verified(tested, ids, named, width, percent, seed), "edges")
+    labels = written(component_labels(edges, "a", "b"), "labels")
+    release(spark)
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """(list, fp, comp) of the lists that reach over several components, one of each that
+        have the same members."""
+        of = labels.select(F.col("id").alias("fp"), F.col("component").alias("found"))
+        at = rows.join(of, "fp", "left").select("list", "fp", F.coalesce("found", "fp").alias("comp"))
+        same = [F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
+        apart = at.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *same).where("low < high")
+        apart = apart.groupBy("size", "x1", "x2").agg(F.min("list").alias("list")).select("list")
+        return written(at.join(apart, "list", "left_semi"), "open")
+
+    open_lists, cap = still_open(lists), 1
+    forget(lists)
+    found = None
+    while not open_lists.isEmpty():
+        if found is None:  # only these texts can be needed from here on
+            few = open_lists.select("fp").distinct().join(ids, "fp").select("id").distinct()
+            found = written(named.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id"), "texts")
+        now = open_lists.join(marks.select("fp", "n", "bits"), "fp")
+        got = written(candidate_pairs(now, percent, cap).distinct(), "candidates")
+        pairs = written(got.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "untested")
+        new = written(verified(written(passing(pairs, marks, percent), "passed"), ids, found, width, percent, seed), "edges")
+        more = not got.where("a IS NULL").isEmpty()
+        tested = tested.unionAll(pairs)
+        if not new.isEmpty():
+            edges = edges.unionAll(new)
+            labels = written(component_labels(edges, "a", "b"), "labels")
+        release(spark)
+        if not more:
+            break
+        before, open_lists, cap = open_lists, still_open(open_lists), cap * 4
+        forget(before)
+    whole = able.select("id", "n", "fp").join(labels.select(F.col("id").alias("label_of"), "component"), F.col("fp") == F.col("label_of"), "left")
+    whole = whole.select("id", "n", F.coalesce("component", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     out = whole.join(least, "root").select("id", "n", "component_id")
-    apart = rows.where("id IS NULL OR fp IS NULL").select("id", "n", F.when(F.col("fp").isNull(), F.col("id")).alias("component_id"))
+    apart = sets.where("id IS NULL OR fp IS NULL").select("id", "n", F.when(F.col("fp").isNull(), F.col("id")).alias("component_id"))
     return out.unionAll(apart).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def _only_right(width: int):
-    """Rows (id, text, fp) whose text has the set of that fp, as (fp, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            fp, text = batch.column(names.index("fp")), batch.column(names.index("text"))
-            right = pa.array([len(s := shingle_set(t, width)) > 0 and fingerprint(s) == f for t, f in zip(as_bytes(text), fp.to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([fp.filter(right), text.filter(right)], names=["fp", "text"])
-
-    return run
