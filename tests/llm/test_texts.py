@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import jaccard, toxicity
+from weftgraph.llm import jaccard, lm, toxicity
 from weftgraph.llm.gbt import fit_trees
 from weftgraph.llm.jaccard import ORDERS, SKETCH, jaccard_components, may_link, prefix, shingle_set, short_prefix, sketch
 from weftgraph.llm.langid import identify_language, letters
-from weftgraph.llm.lm import END, in_states, score_texts, smoothed
+from weftgraph.llm.lm import END, score_texts
 from weftgraph.llm.quality import score_quality
 from weftgraph.llm.queries import op2_quality_classifier, op5_toxicity, op7_language_id, op9_lm_score
 from weftgraph.llm.toxicity import bag, fit_softmax, score_toxicity, subwords
@@ -271,15 +271,23 @@ def test_lm_base_and_gain(spark):
     assert all(r["score"] < 0 for r in got.values())
 
 
-def test_lm_contexts_are_distributions(spark):
+def test_lm_contexts_are_distributions():
     """In a context the probabilities of all tokens that are known at all add up to 1."""
-    parent = spark.createDataFrame([("", "a", 0.5), ("", "b", 0.3), ("", "?", 0.2)], "context string, token string, p double")
-    rows = [("x", "a", 7), ("x", "b", 0), ("x", "?", 0), ("y", "a", 1), ("y", "b", 1), ("y", "?", 0), ("z", "a", 5), ("z", "b", 3), ("z", "?", 0)]
-    counts = spark.createDataFrame([(c, t, n, 1, 1.0, 0.0, b"") for c, t, n in rows], "context string, token string, t bigint, n bigint, known double, base double, word binary")
-    got = smoothed(counts, parent).groupBy("context").agg(F.sum("p").alias("p"), F.sum("gain").alias("gain")).collect()
-    assert {r["context"]: r["p"] for r in got} == pytest.approx({"x": 1.0, "y": 1.0, "z": 1.0})
-    gain = {r["context"]: r["gain"] for r in got}
-    assert gain["x"] > 2 and gain["y"] < 0.1
+    below = np.array([0.5, 0.3, 0.2])
+    for t, good in (([7, 0, 0], True), ([1, 1, 0], False), ([5, 3, 0], None)):
+        t = np.array(t, float)
+        share, freed, gain = lm.smoothed(t, t.sum(), (t > 0).sum(), below)
+        assert (share + freed * below).sum() == pytest.approx(1.0)
+        assert good is None or (gain.sum() > 2 if good else gain.sum() < 0.1)
+
+
+def test_lm_pieces_and_blocks(monkeypatch):
+    text = b"Ab \t cd\nEF  " * 50 + b"x" * 40
+    whole = lm.tokens_of(text)
+    monkeypatch.setattr(lm, "PIECE", 16)
+    assert [w for piece in lm.pieces_of(text) for w in piece] == whole and len(list(lm.pieces_of(text))) > 10
+    columns = [np.arange(300, dtype=np.uint32), np.zeros(0, np.uint64), np.array([1, 2**63], np.uint64), np.ones(5, np.uint8)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(lm.unpack(lm.pack(columns)), columns, strict=True))
 
 
 def test_lm_prefers_what_it_has_seen(spark):
@@ -297,12 +305,6 @@ def test_lm_of_odd_texts(spark, odd):
     assert score_texts(odd.withColumn("learn", F.lit(True)).limit(0), "learn").count() == 0
 
 
-def test_states():
-    contexts = frozenset([b"a", b"b", b"a\rb", END])
-    assert in_states(b"A b c", contexts) == [END + b"\ta", b"a\tb", b"a\rb\tc", b"\t" + END]
-    assert in_states(b"A b c", None) == [END + b"\ta", END + b"\ra\tb", b"a\rb\tc", b"b\rc\t" + END]
-
-
 def test_lm_keeps_contexts_however_large_the_corpus(spark):
     """What follows "q" a few times is told by "q", also where it is far less than 1 in 1,000."""
     filler = " ".join(f"f{i}" for i in range(400))
@@ -314,54 +316,60 @@ def test_lm_keeps_contexts_however_large_the_corpus(spark):
     assert got[900]["score"] > got[900]["base_score"] / 2
 
 
-def test_lm_against_a_plain_tree(spark):
-    random.seed(9)
-    texts = []
-    for _ in range(40):
-        at = [0, 1]
-        for _ in range(random.randrange(60)):
-            at.append(random.randrange(9) if random.random() < 0.4 else (at[-1] + at[-2]) % 9)
-        words = [f"w{i}" for i in at]
-        texts.append(" ".join(words))
-    texts[0] += " x1 x2 x3"  # learned, but met once
-    texts += ["w1 unseen w2 unseen", "", "w3 x1 x2"]
-    rows = [(i, t, i < 35) for i, t in enumerate(texts)]
-    seen = [Counter(), Counter(), Counter()]
-    for _, t, learn in rows:
-        w = t.encode().split() + [END]
-        if learn:
-            seen[0].update((b"", x) for x in w)
-            seen[1].update(zip([END, *w], w))
-            seen[2].update((a + b"\r" + b, c) for a, b, c in zip([END, *w], w, w[1:]))
+def plain_tree_scores(rows, least_gain):
+    """log10 probabilities by a suffix tree in plain Python, with contexts of up to three tokens."""
+    seen = [Counter() for _ in range(4)]
+    events = {}
+    for i, text, learn in rows:
+        w = [b"^", *text.encode().lower().split(), END]
+        events[i] = [[(tuple(w[k - n : k]), w[k]) for n in range(min(4, k + 1))] for k in range(1, len(w))]
+        for e in events[i] if learn else ():
+            for n, x in enumerate(e):
+                seen[n][x] += 1
     n, v = sum(seen[0].values()), len(seen[0])
-    after = [{}, {}, {}]
-    for level, bag in zip(after, seen):
+    after = {}
+    for bag in seen[1:]:
         for (c, x), k in bag.items():
-            level.setdefault(c, {})[x] = k
-    kept = set()
+            after.setdefault(c, {})[x] = k
+    kept = {()}
 
     def p(c, x):
         if not c:
-            k = seen[0][b"", x]
+            k = seen[0][(), x]
             return (k - 0.75) / n if k else 0.75 * v / n
-        short = c.partition(b"\r")[2]
-        bag = after[1 + c.count(b"\r")][c]
+        bag = after[c]
         total = sum(bag.values())
-        return max(bag.get(x, 0) - 0.75, 0) / total + len(bag) * 0.75 / total * p(short, x)
-
-    for level in after[1:]:
-        for c, bag in level.items():
-            short, total, gain = c.partition(b"\r")[2], sum(bag.values()), 0
-            if short and short not in kept:
-                continue
-            for x, k in bag.items():
-                below, others = p(short, x), max(total - 1, 1)
-                gain += k * math.log((max(k - 1.75, 0) / others + max(len(bag) - (k == 1), 1) * 0.75 / others * below) / below)
-            if total >= 2 and gain > 2:
+        return max(bag.get(x, 0) - 0.75, 0) / total + len(bag) * 0.75 / total * p(c[1:], x)
+
+    for c in sorted(after, key=len):
+        total, gain = sum(after[c].values()), 0
+        if c[1:] in kept and total >= 2:
+            for x, k in after[c].items():
+                below, others, kinds = p(c[1:], x), max(total - 1, 1), max(len(after[c]) - (k == 1), 1)
+                gain += k * math.log((max(k - 1.75, 0) / others + kinds * 0.75 / others * below) / below)
+            if gain > least_gain:
                 kept.add(c)
-    assert any(b"\r" in c for c in kept) and all(any(c not in kept for c in level) for level in after[1:])
+    assert {len(c) for c in kept} == {0, 1, 2, 3} and (least_gain < 0 or len(kept) < len(after))
+    longest = lambda e: max((x for x in e if x[0] in kept), key=lambda x: len(x[0]))
+    return {i: sum(math.log10(p(*longest(e))) for e in es) for i, es in events.items()}
+
+
+@pytest.mark.parametrize("part, words, grams, gain", [(10**6, 10**6, 10**6, 2.0), (40, 10**6, 10**6, 2.0), (10**6, 6, 10**6, -1e9), (40, 6, 12, -1e9)])
+def test_lm_against_a_plain_tree(spark, monkeypatch, part, words, grams, gain):
+    """Also with many hot contexts (small parts), and with few words and pairs in the broadcast."""
+    for name, value in (("PART", part), ("TOP_WORDS", words), ("TOP_GRAMS", grams)):
+        monkeypatch.setattr(lm, name, value)
+    random.seed(9)
+    texts = []
+    for _ in range(60):
+        at = [0, 1]
+        for _ in range(random.randrange(60)):
+            at.append(random.randrange(9) if random.random() < 0.4 else (at[-1] + at[-2]) % 9)
+        texts.append(" ".join(f"w{i}" for i in at))
+    texts[0] += " x1 x2 x3"  # learned, but met once
+    texts += ["a" * 60 + " w2 w3 " + "a" * 60, "w1 w1 w1 w1 " * 20, "w1 unseen w2 unseen", "", "w3 x1 x2", "a" * 60 + " w2"]
+    rows = [(i, t, i % 5 != 4 and i < 62) for i, t in enumerate(texts)]
+    want = plain_tree_scores(rows, gain)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean").repartition(5)
-    got = {r["doc_id"]: r["score"] for r in score_texts(df, "learn").collect()}
-    for i, t, _ in rows:
-        want = sum(math.log10(p(*k.split(b"\t"))) for k in in_states(t.encode(), frozenset(kept)))
-        assert got[i] == pytest.approx(want)
+    got = {r["doc_id"]: r["score"] for r in score_texts(df, "learn", least_gain=gain).collect()}
+    assert got == pytest.approx(want)
