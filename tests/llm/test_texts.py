@@ -286,8 +286,11 @@ def test_lm_pieces_and_blocks(monkeypatch):
     whole = lm.tokens_of(text)
     monkeypatch.setattr(lm, "PIECE", 16)
     assert [w for piece in lm.pieces_of(text) for w in piece] == whole and len(list(lm.pieces_of(text))) > 10
-    columns = [np.arange(300, dtype=np.uint32), np.zeros(0, np.uint64), np.array([1, 2**63], np.uint64), np.ones(5, np.uint8)]
-    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(lm.unpack(lm.pack(columns)), columns, strict=True))
+    fixed, loose = [np.arange(200, dtype=np.uint8), np.ones(200, np.uint8)], [np.zeros(0, np.uint64), np.array([1, 2**63], np.uint64), np.zeros(0, np.uint64)]
+    got = lm.unpack(lm.pack(fixed, loose), 2, 3)
+    assert all((a == b).all() and a.dtype == b.dtype and len(a) == len(b) for x, y in zip(got, (fixed, loose)) for a, b in zip(x, y, strict=True))
+    first, slot = lm.groups(np.array([5, 3, 5, 9, 3]))
+    assert np.array([5, 3, 5, 9, 3])[first].tolist() == [3, 5, 9] and slot.tolist() == [1, 0, 1, 2, 0]
 
 
 def test_lm_prefers_what_it_has_seen(spark):

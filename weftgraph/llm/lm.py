@@ -32,10 +32,12 @@ LEAST_GAIN = 2.0
 #: broadcast; the rest is met in a join.  Words of more bytes than LONG go by their hash alone.
 TOP_WORDS, TOP_GRAMS, LONG = 400_000, 1_000_000, 48
 #: A part of the tree is built from about so many tokens; a context that more tokens follow is
-#: hot: its own distribution is counted apart, and what it branches into are parts of their own.
-PART = 1_000_000
+#: hot (at twice as many): its own distribution is counted apart, and what it branches into are parts of their own.
+PART = 750_000
 #: A task's counter is handed on when it holds so many words, its tokens when it holds so many.
-COUNTER_WORDS, HELD = 400_000, 2_000_000
+COUNTER_WORDS, HELD = 400_000, 750_000
+#: Bytes of a word's rank among TOP_WORDS.
+CODE_BYTES = 3
 #: A text is cut at white space into pieces of about so many bytes while it is read.
 PIECE = 4 << 20
 
@@ -191,23 +193,29 @@ def contexts_of(before: list[np.ndarray], key_of) -> list[np.ndarray]:
     return out
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of numbers, byte by byte, compressed; :func:`unpack` gives them back."""
-    parts = []
-    for c in columns:
-        wide = np.ascontiguousarray(c)
-        parts.append(np.array([wide.dtype.itemsize, len(wide)], np.int64).tobytes() + wide.view(np.uint8).reshape(len(wide), wide.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def pack(fixed: list[np.ndarray], loose: list[np.ndarray]) -> bytes:
+    """Arrays of bytes of one length, one after another, and arrays of 64-bit numbers of any
+    length, compressed; :func:`unpack` gives them back."""
+    sizes = np.array([len(fixed[0]), *[len(x) for x in loose]], np.int64)
+    return zstandard.compress(b"".join([sizes.tobytes(), *[x.tobytes() for x in fixed], *[x.tobytes() for x in loose]]), 1)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        width, n = np.frombuffer(raw, np.int64, 2, at).tolist()
-        planes = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"u{width}").ravel())
-        at += 16 + width * n
-    return out
+def unpack(data: bytes, n_fixed: int, n_loose: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    raw, at = zstandard.decompress(data), 8 * (n_loose + 1)
+    n, *sizes = np.frombuffer(raw, np.int64, n_loose + 1).tolist()
+    fixed = [np.frombuffer(raw, np.uint8, n, at + n * i) for i in range(n_fixed)]
+    starts = at + n * n_fixed + 8 * np.r_[0, np.cumsum(sizes)]
+    return fixed, [np.frombuffer(raw[a:b], np.uint64) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+
+
+def groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where one of each distinct number stands, the place of each number among those)."""
+    order = np.argsort(x)
+    inorder = x[order]
+    new = np.r_[True, inorder[1:] != inorder[:-1]]
+    slot = np.empty(len(x), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    return order[new], slot
 
 
 def grown(p: np.ndarray, token: np.ndarray, contexts: list[np.ndarray], depth: np.ndarray, learned: np.ndarray, kept: np.ndarray, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +234,15 @@ def grown(p: np.ndarray, token: np.ndarray, contexts: list[np.ndarray], depth: n
     for length, context in enumerate(contexts, 1):
         at = np.flatnonzero(alive & (depth < length) & (context != 0))
         alive = alive & (depth >= length)
+        # too seldom even with all that shares some bits: most contexts need no more than this
+        few = (context[at] >> np.uint64(42)).astype(np.int64)
+        at = at[np.bincount(few, learned[at], 1 << 22)[few] >= LEAST_COUNT]
         if not len(at):
             continue
-        _, first, slot = np.unique(after(context[at], token[at]), return_index=True, return_inverse=True)
+        first, slot = groups(after(context[at], token[at]))
         t = np.bincount(slot, learned[at]).astype(float)
         mine = at[first]
-        names, of = np.unique(context[mine], return_inverse=True)
+        names, of = groups(context[mine])
         total, kinds = np.bincount(of, t), np.bincount(of, t > 0)
         share, freed, gain = smoothed(t, total[of], kinds[of], a[mine] + b[mine] * p[mine])
         keep = (total >= LEAST_COUNT) & (np.bincount(of, gain, len(names)) > least_gain)
@@ -294,17 +305,19 @@ def hot_level(source: DataFrame, sent, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
         for _, learned, _, row, before, token, _ in chunks(batches, tables.words):
-            contexts = contexts_of(before, tables.key_of)
-            at = np.flatnonzero(tables.hot_depth(contexts) >= length)
-            _, _, parent, _ = tables.below(token[at], [c[at] for c in contexts], np.full(len(at), length - 1))
-            context = contexts[length - 1][at]
+            at = np.flatnonzero(is_in(contexts_of(before[:1], tables.key_of)[0], tables.hot[0][0]) >= 0)
+            contexts = contexts_of([x[at] for x in before], tables.key_of)
+            deep = tables.hot_depth(contexts) >= length
+            at, contexts = at[deep], [c[deep] for c in contexts]
+            _, _, parent, _ = tables.below(token[at], contexts, np.full(len(at), length - 1))
+            context = contexts[length - 1]
             key, first, slot = np.unique(after(context, tables.key_of(token[at])), return_index=True, return_inverse=True)
             t = np.bincount(slot, learned[row[at]], len(key)).astype(np.int64)
             signed = lambda x: pa.array(x.view(np.int64))
-            shorter = contexts[length - 2][at] if length > 1 else np.zeros(len(at), np.uint64)
+            shorter = contexts[length - 2] if length > 1 else np.zeros(len(at), np.uint64)
             yield pa.RecordBatch.from_arrays([signed(context[first]), signed(shorter[first]), signed(key), signed(parent[first]), pa.array(np.bincount(slot, minlength=len(key))), pa.array(t)], names=names)
             if length < DEPTH:
-                longer, n = np.unique(contexts[length][at], return_counts=True)
+                longer, n = np.unique(contexts[length], return_counts=True)
                 none = pa.nulls(len(longer), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, signed(longer), none, pa.array(n), pa.array(n)], names=names)
 
@@ -403,7 +416,7 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
     long_names = {h: i for i, w in enumerate(names) if w is None for h in (int(keys[i]), int(keys[i]) ^ (1 << 63))}
     rare_p = float(often.min() if len(often) else 1) / max(n, 1)
     tables = Tables(Words(short_names, long_names, seed), keys, *xs, rare_p, [], np.zeros(0, np.uint64), np.zeros(0))
-    limit = max(PART, tokens // 10_000_000)
+    limit = max(2 * PART, tokens // 10_000_000)
     values = rows.select("key", "p", "base", "known")
     hot = contexts_of([keys[often > limit]], lambda x: x | RARE)[0] if len(often) else np.zeros(0, np.uint64)
     start = contexts_of([np.array([START])], lambda x: x)[0]
@@ -411,7 +424,7 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
         hot = np.r_[hot, start]
     values = with_hot_contexts(source, tables, values, hot, limit, least_gain)
     release(spark)
-    sums = tree_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(learn_col), F.lit(False)).alias("learn")), tables, max(1, math.ceil(2 * tokens / PART)), least_gain)
+    sums = tree_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(learn_col), F.lit(False)).alias("learn")), tables, max(1, math.ceil(tokens / PART)), least_gain)
     sums = written(sums, "scores")
     told = values.select(F.col("key").alias("of"), "p", F.col("base").alias("word_base"), F.col("known").alias("word_known"))
     rest = sums.where("key IS NOT NULL").join(told, F.col("key") == F.col("of"))
@@ -446,19 +459,21 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             route = np.where((depth == DEPTH) | (route == 0), np.arange(len(token), dtype=np.uint64), route)
             part = (mix(route) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
-            places, blocks, firsts = part[order[starts]], [], []
-            for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-                at = order[a:b]
-                of = row[at]
-                rare, columns = [], []
-                for x in (token[at], *[y[at] for y in before]):
-                    code = np.where(x == START, 1, np.where(x == NONE, 2, np.where(x >= RARE, 0, x + np.uint64(3))))
-                    rare.append(x[x >= RARE])
-                    columns.append(code.astype(np.uint32))
-                new = np.r_[True, np.diff(of) > 0]
-                blocks.append(pack([*columns, *rare, new.astype(np.uint8), learned[of].astype(np.uint8), (rows[of[new]] - rows[of[0]]).astype(np.uint64)]))
-                firsts.append(int(rows[of[0]]))
+            of = row[order]
+            cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]), len(order)]
+            places = part[order[cuts[:-1]]]
+            new = np.r_[True, np.diff(of) != 0]
+            new[cuts[:-1]] = True
+            planes, loose = [new.view(np.uint8), learned[of].astype(np.uint8)], [rows[of[new]].astype(np.uint64)]
+            ends = [np.r_[0, np.cumsum(new)][cuts]]
+            for x in (token, *before):
+                x = x[order]
+                code = np.where(x == START, 1, np.where(x == NONE, 2, np.where(x >= RARE, 0, x + np.uint64(3)))).astype("<u4")
+                planes += list(code.view(np.uint8).reshape(len(code), 4).T[:CODE_BYTES].copy())
+                loose.append(x[x >= RARE])
+                ends.append(np.r_[0, np.cumsum(x >= RARE)][cuts])
+            blocks = [pack([x[a:b] for x in planes], [x[e[i] : e[i + 1]] for x, e in zip(loose, ends, strict=True)]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            firsts = np.zeros(len(blocks), np.int64)
             top = token < RARE
             rank = token[top].astype(np.int64)
             base, known = np.bincount(row[top], tables.base[rank], len(rows)), np.bincount(row[top], tables.known[rank], len(rows))
@@ -469,7 +484,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             columns = [
                 pa.array(np.r_[places, rows % parts, rows[row[odd]] % parts].astype(np.int32)),
                 pa.concat_arrays([pa.array(blocks, pa.binary()), none(m + k, pa.binary())]),
-                pa.array(np.r_[np.array(firsts, np.int64), rows, rows[row[odd]]]),
+                pa.array(np.r_[firsts, rows, rows[row[odd]]]),
                 pa.concat_arrays([none(n, arrow_id), pa.array(ids, arrow_id), none(k, arrow_id)]),
                 pa.concat_arrays([none(n, whole), pa.array(lengths, whole), none(k, whole)]),
                 pa.concat_arrays([none(n, real), pa.array(base), none(k, real)]),
@@ -480,7 +495,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
-        held: list[tuple] = []
+        held: list[bytes] = []
         at = None
 
         def work() -> pa.RecordBatch:
@@ -508,12 +523,12 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
                 none, minus = pa.nulls(rest.num_rows, pa.float64()), pa.array(np.full(rest.num_rows, -1.0))
                 yield pa.RecordBatch.from_arrays([rest.column(2), rest.column(3), rest.column(4), none, rest.column(5), rest.column(6), rest.column(7), none, minus], names=out_names)
             batch = batch.filter(is_block)
-            for part, data, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if part != at and held:
                     yield work()
                     held = []
                 at = part
-                held.append((data, first))
+                held.append(data)
         if held:
             yield work()
 
@@ -522,23 +537,18 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
     return dealt.mapInArrow(settle, f"row bigint, id {id_type}, n_tokens bigint, score double, base_score double, known double, key bigint, a double, b double")
 
 
-def decode(held: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def decode(held: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """(token, tokens before it, row, learned) of packed blocks."""
-    token, row, learned = [], [], []
-    before: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
-    for data, first in held:
-        columns = unpack(data)
-        codes, rare = columns[: DEPTH + 1], columns[DEPTH + 1 : 2 * DEPTH + 2]
-        new, flag, starts = columns[2 * DEPTH + 2 :]
-        xs = []
-        for code, odd in zip(codes, rare, strict=True):
-            x = code.astype(np.uint64) - np.uint64(3)
+    out: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 3)]
+    for data in held:
+        (new, flag, *planes), (rows, *rare) = unpack(data, 2 + CODE_BYTES * (DEPTH + 1), DEPTH + 2)
+        for i, odd in enumerate(rare):
+            code = sum(p.astype(np.uint64) << np.uint64(8 * k) for k, p in enumerate(planes[CODE_BYTES * i : CODE_BYTES * (i + 1)]))
+            x = code - np.uint64(3)
             x[code == 1], x[code == 2] = START, NONE
             x[code == 0] = odd
-            xs.append(x)
-        token.append(xs[0])
-        for i in range(DEPTH):
-            before[i].append(xs[i + 1])
-        row.append((first + starts.astype(np.int64))[np.cumsum(new, dtype=np.int64) - 1])
-        learned.append(flag)
-    return np.concatenate(token), [np.concatenate(x) for x in before], np.concatenate(row), np.concatenate(learned).astype(float)
+            out[i].append(x)
+        out[-2].append(rows.astype(np.int64)[np.cumsum(new, dtype=np.int64) - 1])
+        out[-1].append(flag)
+    token, *before, row, learned = (np.concatenate(x) for x in out)
+    return token, before, row, learned.astype(float)
