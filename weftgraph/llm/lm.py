@@ -30,12 +30,12 @@ DISCOUNT = 0.75
 LEAST_GAIN = 2.0
 #: So many of the most frequent words, and of the most frequent tokens after hot contexts, are
 #: broadcast; the rest is met in a join.  Words of more bytes than LONG go by their hash alone.
-TOP_WORDS, TOP_GRAMS, LONG = 400_000, 1_000_000, 48
+TOP_WORDS, TOP_GRAMS, LONG = 400_000, 600_000, 48
 #: A part of the tree is built from about so many tokens; a context that more tokens follow is
 #: hot (at twice as many): its own distribution is counted apart, and what it branches into are parts of their own.
 PART = 750_000
 #: A task's counter is handed on when it holds so many words, its tokens when it holds so many.
-COUNTER_WORDS, HELD = 400_000, 750_000
+COUNTER_WORDS, HELD = 700_000, 750_000
 #: Bytes of a word's rank among TOP_WORDS.
 CODE_BYTES = 3
 #: A text is cut at white space into pieces of about so many bytes while it is read.
@@ -357,12 +357,12 @@ def with_hot_contexts(source: DataFrame, tables: Tables, values: DataFrame, hot:
         kept = spark.createDataFrame(stat.assign(kept=keep)[["context", "kept"]], "context bigint, kept boolean") if len(stat) else None
         level = met.join(F.broadcast(kept), "context").select("key", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below")).alias("p"), "n", "t") if kept is not None else met.select("key", F.col("own").alias("p"), "n", "t")
         values = written(values.unionAll(level.select("key", "p", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("known"))), "values")
-        best = level.orderBy(F.desc("n"), "key").limit(max(1, TOP_GRAMS // DEPTH)).toPandas()
-        top.append((best.key.to_numpy().view(np.uint64), best.p.to_numpy()))
+        best = level.orderBy(F.desc("n"), "key").limit(max(1, TOP_GRAMS // DEPTH)).select("key", "p", "n").toArrow()
+        top.append((best.column(0).to_numpy().view(np.uint64), best.column(1).to_numpy()))
         table = tables.hot[-1][0]
         at = is_in(stat.context.to_numpy().view(np.uint64), table)
         is_kept, above = np.ones(len(table), bool), np.ones(len(table))
-        least = float(best.n.min()) if len(best) else 1.0
+        least = float(best.column(2).to_numpy().min()) if best.num_rows else 1.0
         is_kept[at] = keep
         above[at] = np.minimum(1.0, (least + stat.kinds * DISCOUNT) / np.maximum(stat.total, 1))
         tables.hot[-1] = (table, is_kept, above)
@@ -452,15 +452,18 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
         for rows, learned, lengths, row, before, token, ids in chunks(batches, tables.words):
-            contexts = contexts_of(before, tables.key_of)
-            depth = tables.hot_depth(contexts)
             # the first context that isn't hot says where a token goes; without one it may go anywhere
-            route = np.array(contexts)[np.minimum(depth, DEPTH - 1), np.arange(len(token))]
-            route = np.where((depth == DEPTH) | (route == 0), np.arange(len(token), dtype=np.uint64), route)
-            part = (mix(route) % np.uint64(parts)).astype(np.int64)
+            route = contexts_of(before[:1], tables.key_of)[0]
+            hot = np.flatnonzero(is_in(route, tables.hot[0][0]) >= 0) if tables.hot else np.zeros(0, np.int64)
+            if len(hot):
+                contexts = contexts_of([x[hot] for x in before], tables.key_of)
+                depth = tables.hot_depth(contexts)
+                onward = np.array(contexts)[np.minimum(depth, DEPTH - 1), np.arange(len(hot))]
+                route[hot] = np.where((depth == DEPTH) | (onward == 0), hot.astype(np.uint64), onward)
+            part = (mix(route) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             of = row[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]), len(order)]
+            cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(part[order].astype(np.int64)) > 0]), len(order)]
             places = part[order[cuts[:-1]]]
             new = np.r_[True, np.diff(of) != 0]
             new[cuts[:-1]] = True
@@ -496,6 +499,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
         held: list[bytes] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         at = None
 
         def work() -> pa.RecordBatch:
@@ -504,18 +508,24 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             depth = tables.hot_depth(contexts)
             p, sure, key, kept = tables.below(token, contexts, depth)
             a, b = grown(p, token, contexts, depth, learned, kept, least_gain)
-            names, slot = np.unique(row[sure], return_inverse=True)
-            score = np.bincount(slot, np.log10(a[sure] + b[sure] * p[sure]), len(names))
-            open_at = np.flatnonzero(~sure)
-            m, k = len(names), len(open_at)
-            both = lambda x, y: pa.array(np.r_[x, y])
-            columns = [
-                both(names, row[open_at]), pa.nulls(m + k, arrow_id), pa.nulls(m + k, pa.int64()), both(score, np.zeros(k)),
-                pa.nulls(m + k, pa.float64()), pa.nulls(m + k, pa.float64()),
-                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(key[open_at].view(np.int64))]), both(np.zeros(m), a[open_at]), both(np.ones(m), b[open_at]),
-            ]
+            found.append((row[sure], np.log10(a[sure] + b[sure] * p[sure])))
+            left = np.flatnonzero(~sure)
+            return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left])
+
+        def batch_of(row, score, key, a, b) -> pa.RecordBatch:
+            none = lambda t: pa.nulls(len(row), t)
+            columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
             return pa.RecordBatch.from_arrays(columns, names=out_names)
 
+        def summed(least: int) -> Iterator[pa.RecordBatch]:
+            """Adds up by row what was found, once it is much, and hands on ``least`` rows or more."""
+            if found and sum(len(x[0]) for x in found) >= 4 * least:
+                row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                first, slot = groups(row)
+                found[:] = [(row[first], np.bincount(slot, score, len(first)))]
+                if len(first) >= least:
+                    yield batch_of(*found.pop(), None, np.zeros(len(first)), np.ones(len(first)))
+
         for batch in batches:
             is_block = batch.column(1).is_valid()
             rest = batch.filter(pc.invert(is_block))
@@ -527,10 +537,12 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
                 if part != at and held:
                     yield work()
                     held = []
+                    yield from summed(HELD)
                 at = part
                 held.append(data)
         if held:
             yield work()
+        yield from summed(0)
 
     dealt = source.select("text", "learn", "id").mapInArrow(deal, f"part int, data binary, row bigint, id {id_type}, n_tokens bigint, base_score double, known double, key bigint")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
