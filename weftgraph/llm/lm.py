@@ -33,9 +33,9 @@ LEAST_GAIN = 2.0
 TOP_WORDS, TOP_GRAMS, LONG = 400_000, 600_000, 48
 #: A part of the tree is built from about so many tokens; a context that more tokens follow is
 #: hot (at twice as many): its own distribution is counted apart, and what it branches into are parts of their own.
-PART = 750_000
+PART = 500_000
 #: A task's counter is handed on when it holds so many words, its tokens when it holds so many.
-COUNTER_WORDS, HELD = 700_000, 750_000
+COUNTER_WORDS, HELD = 700_000, 600_000
 #: Bytes of a word's rank among TOP_WORDS.
 CODE_BYTES = 3
 #: A text is cut at white space into pieces of about so many bytes while it is read.
@@ -508,7 +508,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             depth = tables.hot_depth(contexts)
             p, sure, key, kept = tables.below(token, contexts, depth)
             a, b = grown(p, token, contexts, depth, learned, kept, least_gain)
-            found.append((row[sure], np.log10(a[sure] + b[sure] * p[sure])))
+            add(row[sure], np.log10(a[sure] + b[sure] * p[sure]))
             left = np.flatnonzero(~sure)
             return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left])
 
@@ -517,14 +517,18 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
             return pa.RecordBatch.from_arrays(columns, names=out_names)
 
+        def add(row, score) -> None:
+            first, slot = groups(row)
+            found.append((row[first], np.bincount(slot, score, len(first))))
+
         def summed(least: int) -> Iterator[pa.RecordBatch]:
             """Adds up by row what was found, once it is much, and hands on ``least`` rows or more."""
             if found and sum(len(x[0]) for x in found) >= 4 * least:
                 row, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                first, slot = groups(row)
-                found[:] = [(row[first], np.bincount(slot, score, len(first)))]
-                if len(first) >= least:
-                    yield batch_of(*found.pop(), None, np.zeros(len(first)), np.ones(len(first)))
+                found.clear()
+                add(row, score)
+                if (n := len(found[0][0])) >= least:
+                    yield batch_of(*found.pop(), None, np.zeros(n), np.ones(n))
 
         for batch in batches:
             is_block = batch.column(1).is_valid()
@@ -537,7 +541,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
                 if part != at and held:
                     yield work()
                     held = []
-                    yield from summed(HELD)
+                    yield from summed(HELD // 3)
                 at = part
                 held.append(data)
         if held:
