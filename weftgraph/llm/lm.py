@@ -212,7 +212,8 @@ def groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where one of each distinct number stands, the place of each number among those)."""
     order = np.argsort(x)
     inorder = x[order]
-    new = np.r_[True, inorder[1:] != inorder[:-1]]
+    new = np.ones(len(x), bool)
+    new[1:] = inorder[1:] != inorder[:-1]
     slot = np.empty(len(x), np.int64)
     slot[order] = np.cumsum(new) - 1
     return order[new], slot
@@ -348,15 +349,15 @@ def with_hot_contexts(source: DataFrame, tables: Tables, values: DataFrame, hot:
         others, kinds = F.greatest(F.col("total") - 1, F.lit(1.0)), F.greatest(F.col("kinds") - F.when(F.col("t") == 1, 1).otherwise(0), F.lit(1.0))
         without = F.greatest(F.col("t") - 1 - DISCOUNT, F.lit(0.0)) / others + kinds * DISCOUNT / others * F.col("below")
         met = met.withColumns({"own": F.when(F.col("total") > 0, p).otherwise(F.col("below")), "gain": F.when(F.col("t") > 0, F.col("t") * F.log(without / F.col("below"))).otherwise(0.0)})
-        met = written(met, "smoothed")
+        met = written(met.select("context", "shorter", "key", "n", "total", "kinds", "below", "own", "gain"), "smoothed")
         stat = met.groupBy("context").agg(F.sum("gain").alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.first("shorter").alias("shorter")).toPandas()
         keep = (stat.total >= LEAST_COUNT) & (stat.gain > least_gain)
         if length > 1:
             table, is_kept, _ = tables.hot[-2]
             keep &= is_kept[is_in(stat.shorter.to_numpy().view(np.uint64), table)]
         kept = spark.createDataFrame(stat.assign(kept=keep)[["context", "kept"]], "context bigint, kept boolean") if len(stat) else None
-        level = met.join(F.broadcast(kept), "context").select("key", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below")).alias("p"), "n", "t") if kept is not None else met.select("key", F.col("own").alias("p"), "n", "t")
-        values = written(values.unionAll(level.select("key", "p", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("known"))), "values")
+        level = met.join(F.broadcast(kept), "context").select("key", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below")).alias("p"), "n") if kept is not None else met.select("key", F.col("own").alias("p"), "n")
+        before, values = values, written(values.unionAll(level.select("key", "p", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("known"))), "values")
         best = level.orderBy(F.desc("n"), "key").limit(max(1, TOP_GRAMS // DEPTH)).select("key", "p", "n").toArrow()
         top.append((best.column(0).to_numpy().view(np.uint64), best.column(1).to_numpy()))
         table = tables.hot[-1][0]
@@ -372,6 +373,8 @@ def with_hot_contexts(source: DataFrame, tables: Tables, values: DataFrame, hot:
         more = counts.where((F.col("context").isNull()) & (F.col("n") > limit) & (F.col("key") != 0)).select("key").toPandas()
         hot = more.key.to_numpy().view(np.uint64)
         sent.destroy()
+        for table in [counts, met, *([before] if length > 1 else [])]:
+            forget(table)
     return values
 
 
@@ -541,7 +544,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
                 if part != at and held:
                     yield work()
                     held = []
-                    yield from summed(HELD // 3)
+                    yield from summed(HELD * 2 // 3)
                 at = part
                 held.append(data)
         if held:
