@@ -113,6 +113,8 @@ def test_subwords_are_those_of_the_whole_text(piece, monkeypatch):
         want = Counter(plain_subwords(text))
         assert Counter(x for p in subwords(text.encode()) for x in p.tolist()) == want
         at, share = bag(text.encode())
+        again = toxicity.unpacked(toxicity.packed(at, share))
+        assert again[0].tolist() == at.tolist() and again[1].tolist() == share.tolist()
         assert at.tolist() == sorted(want) and share == pytest.approx([want[x] / want.total() for x in at.tolist()])
     assert bag(None)[0].size == bag(b"")[0].size == 0
 
