@@ -103,3 +103,16 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0 and "pagerank" in capsys.readouterr().out
     assert main(["query", "no such query", "x"]) == 2
+
+
+def test_products_of_any_length(spark):
+    for n in (0, 7, -7, 10**3999, 10**4000 - 1, 10**4000, -(3**50_000), 10**20_000 + 1):
+        text = aggregates.to_text(n)
+        assert aggregates.from_text(text) == n and len(text) == max(1, len(text.lstrip("-").lstrip("0"))) + (n < 0)
+    df = spark.range(2_000).selectExpr("1 AS k", "9000 + id % 999 AS v").repartition(4)
+    want = math.prod(9000 + i % 999 for i in range(2_000))
+    text = aggregates.exact_product(df, ["k"], "v", "p").first()["p"]
+    assert len(text) > 7_900 and aggregates.from_text(text) == want
+    again = spark.createDataFrame([(1, text), (1, "3")], "k int, v string")
+    assert aggregates.from_text(aggregates.exact_gcd(again, ["k"], "v", "g").first()["g"]) == math.gcd(want, 3)
+    assert aggregates.wrapped_product(df, ["k"], "v", "p").first()["p"] == (want + 2**63) % 2**64 - 2**63

@@ -24,10 +24,39 @@ def gcd(a: Column, b: Column) -> Column:
     return run(a.cast("bigint"), b.cast("bigint"))
 
 
+#: Python converts numbers of up to so many digits to and from text by itself.
+DIGITS = 4_000
+
+
+def to_text(n: int) -> str:
+    """Decimal text of a whole number of any length."""
+    if n < 0:
+        return "-" + to_text(-n)
+    if n.bit_length() < 3 * DIGITS:
+        return str(n)
+    half = n.bit_length() * 3 // 20
+    high, low = divmod(n, 10**half)
+    return to_text(high) + to_text(low).zfill(half)
+
+
+def from_text(text: str) -> int:
+    """The whole number that decimal text of any length states."""
+    if len(text) <= DIGITS:
+        return int(text)
+    if text[0] == "-":
+        return -from_text(text[1:])
+    half = len(text) // 2
+    return from_text(text[:-half]) * 10**half + from_text(text[-half:])
+
+
 def _product(values: list[int]) -> int:
     return math.prod(values)
 
 
+def _wrapped(values: list[int]) -> int:
+    return math.prod(values) % (1 << 64)
+
+
 def _gcd(values: list[int]) -> int:
     return math.gcd(*values)
 
@@ -43,7 +72,7 @@ def _fold(df: DataFrame, keys: list[str], columns: list[str], name: str, fold: C
 
         def out() -> Iterator[pa.RecordBatch]:
             names = [*keys, name]
-            rows = [(*key, str(fold(v))) for key, v in held.items()]
+            rows = [(*key, to_text(fold(v))) for key, v in held.items()]
             held.clear()
             types = [schema.field(i).type for i in range(k)] + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(k + 1)], names=names)
@@ -53,7 +82,7 @@ def _fold(df: DataFrame, keys: list[str], columns: list[str], name: str, fold: C
             schema = batch.schema
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
-                values = [int(v) for v in row[k:] if v is not None]
+                values = [from_text(v) if isinstance(v, str) else int(v) for v in row[k:] if v is not None]
                 if values:
                     mine = held.setdefault(row[:k], [])
                     mine += values
@@ -86,7 +115,7 @@ def exact_gcd(df: DataFrame, keys: list[str], columns: str | list[str], name: st
 
 def wrapped_product(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """The product modulo 2**64 as a signed bigint, as a 64-bit machine gives it."""
-    text = exact_product(df, keys, column, name)
+    text = _fold(df, keys, [column], name, _wrapped)
 
     @F.pandas_udf("bigint")
     def wrap(x: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) is a temporary folder made and set for this context.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and driver and
+    executors are one process (tests, a laptop) is a temporary folder made and set for this
+    context; on a cluster it would be a folder that others can't see, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
