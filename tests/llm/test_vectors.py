@@ -1,5 +1,7 @@
 """Embedding operators against brute force, with every kind of unusable vector."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -132,3 +134,18 @@ def test_top_k_where_short_vectors_come_before_long_ones(spark, monkeypatch):
     w = np.floor(256 * x).astype(int)
     want = [(q, r, i, -s) for q in range(0, 6000, 500) for r, (s, i) in enumerate(sorted((-int(w[q] @ w[i]), i) for i in range(6000) if i != q)[:5], 1)]
     assert got == want
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [3e6, 0.0]), (1, [3e6, 1.0]), (2, [-2e6, 5.0]), (3, [4e4, 0.5])]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=50, scale=256).collect()
+    w = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(w[0], w[i])), i) for i in (1, 2, 3)))
+    assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+    for bad in ([3e9], [4e13], [1e300]):
+        df = spark.createDataFrame([(0, bad), (1, bad)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            exact_top_k(df).collect()
+    near = [(0, [3e7, 3e7]), (1, [-3e7, 3e7]), (2, [1e7, -1e7])]  # parts near the edge, sums within
+    got = exact_top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted((r["vec_id"], r["score"]) for r in got) == [(1, 0), (2, 0)]

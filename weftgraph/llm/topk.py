@@ -21,14 +21,21 @@ HEAD = 2_048
 
 def whole(vectors: list, scale: int) -> list[bytes | None]:
     """floor(scale * x) of each component as int64 bytes; None where a vector is null or holds
-    null or non-finite components, or one beyond 2**53, which a double can't tell exactly."""
+    null or non-finite components.  A component that has no int64 is an error that shows it."""
     out = []
     for v in vectors:
         if v is None or any(c is None for c in v):
             out.append(None)
             continue
-        x = np.floor(scale * np.asarray(v, dtype=np.float64))
-        out.append(x.astype("<i8").tobytes() if np.isfinite(x).all() and (np.abs(x) <= 2**53).all() else None)
+        x = np.asarray(v, dtype=np.float64)
+        if not np.isfinite(x).all():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * x)
+        if (np.abs(x) >= 2.0**63).any():
+            raise OverflowError(f"{scale} * {v!r:.200} has a component beyond 64 bits")
+        out.append(x.astype("<i8").tobytes())
     return out
 
 
@@ -37,13 +44,25 @@ def rotation(gram: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1]
 
 
+def products(x: np.ndarray, q: np.ndarray, bound: float) -> list[int]:
+    """Exact inner products of the rows of ``x`` with ``q``; ``bound`` is above the product of their
+    lengths.  Where 64 bits might not do, whole numbers of any size are used; a score beyond 64
+    bits is an error."""
+    if bound < 2.0**62:
+        return (x @ q).tolist()
+    exact = (x.astype(object) @ q.astype(object)).tolist()
+    if any(not -(2**63) <= s < 2**63 for s in exact):
+        raise OverflowError(f"a score is beyond 64 bits, at the query {q.tolist()!r:.200}")
+    return exact
+
+
 class Searcher:
     """Top ``k`` of a set of queries over blocks of candidates, best by descending length."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.rows, self.q, self.v, self.k = ids, rows, q, v, k
         self.lead = max(1, min(q.shape[1], 16))
-        turned = q @ v
+        turned = q.astype(np.float64) @ v
         self.turned = turned[:, : self.lead]
         self.rest = np.sqrt((turned[:, self.lead :] ** 2).sum(axis=1))
         self.length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
@@ -57,7 +76,7 @@ class Searcher:
         alive = np.flatnonzero(self.length * length.max(initial=0) + slack >= self.bar)
         if not len(alive):
             return
-        turned = x @ self.v
+        turned = x.astype(np.float64) @ self.v
         lead, rest = turned[:, : self.lead], np.sqrt((turned[:, self.lead :] ** 2).sum(axis=1))
         bound = self.turned[alive] @ lead.T + self.rest[alive, None] * rest + slack[alive, None]
         for a, q in enumerate(alive):
@@ -66,7 +85,7 @@ class Searcher:
             if not len(at):
                 continue
             heap = self.heaps[q]
-            for s, i in zip((x[at] @ self.q[q]).tolist(), ids[at].tolist(), strict=True):
+            for s, i in zip(products(x[at], self.q[q], 1.01 * self.length[q] * length[at].max()), ids[at].tolist(), strict=True):
                 item = (s, -i)
                 if len(heap) < self.k:
                     heapq.heappush(heap, item)
@@ -86,7 +105,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
 
     Components become floor(scale * x).  Vectors that are null or hold null or non-finite
     components take no part, nor do rows with a null id; a vector of another width than the most
-    common one neither.  Of rows that repeat an id each is a candidate and a query of its own.
+    common one neither.  Scores are exact; a component or a score that 64 bits can't hold is an
+    error, never a wrapped or a missing number.  Of rows that repeat an id each is a candidate and a query of its own.
     Fewer than ``k`` candidates give as many rows; an empty table gives none.
 
     Candidates are written once, by descending length, and read by each pass over the queries,
