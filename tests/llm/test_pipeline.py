@@ -85,3 +85,34 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     got = pipeline.near_duplicates(spark, docs, BIG)
     assert got.columns == docs.columns
     assert sorted(r["source"] for r in got.collect()) == ["a", "d", "e", "f", "g", "h", "i"]
+
+
+def test_odd_documents_through_all_stages(spark, tmp_path):
+    from weftgraph.plans.lineage import written
+
+    spark.read.parquet(f"{BIG}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = spark.read.parquet(f"{BIG}/documents.parquet").where("length(text) > 400")
+    toxic = {r[0] for r in spark.read.parquet(f"{BIG}/labels.parquet").where("toxic = 1").collect()}
+    some = [r for r in plain.where("lang = 'en'").orderBy("doc_id").collect() if r["doc_id"] not in toxic][:3]
+    first, second, third = (r["text"] for r in some)
+    odd = [
+        (None, first + " with no id", "en", None, None), (10**6, None, None, "s", 1), (10**6 + 1, "", "en", "s", 2), (10**6 + 2, " \n\t", None, None, None),
+        (10**6 + 3, second, "en", "s", 7), (10**6 + 3, second, "en", "s", 7), (10**6 + 4, second, None, "s", 8),
+        (10**6 + 5, (" ".join(reversed(third.split())) + " ") * 300, "en", None, 9), (10**6 + 6, "x" * 300_000, None, None, None), (10**6 + 7, first, "de", "s", 3), (10**6 + 8, "123 !!", "en", "s", 4),
+    ]
+    docs = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint").unionByName(plain)
+    for i, name in enumerate(("score", "Predicted", "lang_pred", "component_id", "n_shingles", "row_of_near_duplicates")):
+        docs = docs.withColumn(name, F.lit(float(i)))
+    docs = written(docs)
+    before = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == before.columns
+        assert docs.exceptAll(before).isEmpty()  # rows stay as they came, clashing columns too
+    kept = [(r["doc_id"], r["lang"], len(r["text"])) for r in docs.where("doc_id >= 1000000 OR doc_id IS NULL").collect()]
+    ids = [k[0] for k in kept]
+    assert None in ids and 10**6 + 5 in ids and len(ids) == len(set(ids))
+    assert not {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3, 10**6 + 4, 10**6 + 7, 10**6 + 8} & set(ids)  # no letter, a copy, another language
+    packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
