@@ -376,5 +376,11 @@ def test_lm_against_a_plain_tree(spark, monkeypatch, part, words, grams, gain):
     rows = [(i, t, i % 5 != 4 and i < 62) for i, t in enumerate(texts)]
     want = plain_tree_scores(rows, gain)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean").repartition(5)
-    got = {r["doc_id"]: r["score"] for r in score_texts(df, "learn", least_gain=gain).collect()}
-    assert got == pytest.approx(want)
+    rows_of = {r["doc_id"]: r for r in score_texts(df, "learn", least_gain=gain).collect()}
+    assert {i: r["score"] for i, r in rows_of.items()} == pytest.approx(want)
+    tokens = {i: [*t.encode().lower().split(), END] for i, t, _ in rows}
+    counts = Counter(w for i, _, learn in rows if learn for w in tokens[i])
+    whole = counts.total() + len(counts) + 1
+    for i, w in tokens.items():
+        assert (rows_of[i]["n_tokens"], rows_of[i]["n_known"]) == (len(w), sum(x in counts for x in w))
+        assert rows_of[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / whole) for x in w))

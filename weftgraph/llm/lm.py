@@ -432,10 +432,11 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
     told = values.select(F.col("key").alias("of"), "p", F.col("base").alias("word_base"), F.col("known").alias("word_known"))
     rest = sums.where("key IS NOT NULL").join(told, F.col("key") == F.col("of"))
     of_tree, null = F.col("b") >= 0, F.lit(None)
+    is_word = ~of_tree | (F.col("known") == 1)
     settled = rest.select(
         "row", null.cast(sums.schema["id"].dataType).alias("id"), null.cast("bigint").alias("n_tokens"),
         F.when(of_tree, F.log10(F.col("a") + F.col("b") * F.col("p"))).alias("score"),
-        F.when(~of_tree, F.col("word_base")).alias("base_score"), F.when(~of_tree, F.col("word_known")).alias("known"),
+        F.when(is_word, F.col("word_base")).alias("base_score"), F.when(is_word, F.col("word_known")).alias("known"),
     )
     every = sums.where("key IS NULL").select("row", "id", "n_tokens", "score", "base_score", "known").unionAll(settled)
     total = every.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
@@ -444,8 +445,8 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
 
 def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float) -> DataFrame:
     """Rows (row, id, n_tokens, score, base_score, known) to be added up by row; and rows with a
-    key, for a token whose probability is a + b * p(key) or, where b is -1, whose base score and
-    whether it is known the table of words has to say."""
+    key, for a token whose probability is a + b * p(key), unless b is -1; where b is -1 or known
+    is 1 the key is a word's, and its base score and whether it is known come with p."""
     spark = source.sparkSession
     sent = spark.sparkContext.broadcast(tables)
     id_type = source.schema["id"].dataType.simpleString()
@@ -456,11 +457,12 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
         tables = sent.value
         for rows, learned, lengths, row, before, token, ids in chunks(batches, tables.words):
             # the first context that isn't hot says where a token goes; without one it may go anywhere
-            route = contexts_of(before[:1], tables.key_of)[0]
+            route, deep = contexts_of(before[:1], tables.key_of)[0], np.zeros(len(token), bool)
             hot = np.flatnonzero(is_in(route, tables.hot[0][0]) >= 0) if tables.hot else np.zeros(0, np.int64)
             if len(hot):
                 contexts = contexts_of([x[hot] for x in before], tables.key_of)
                 depth = tables.hot_depth(contexts)
+                deep[hot] = True
                 onward = np.array(contexts)[np.minimum(depth, DEPTH - 1), np.arange(len(hot))]
                 route[hot] = np.where((depth == DEPTH) | (onward == 0), hot.astype(np.uint64), onward)
             part = (mix(route) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
@@ -483,7 +485,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             top = token < RARE
             rank = token[top].astype(np.int64)
             base, known = np.bincount(row[top], tables.base[rank], len(rows)), np.bincount(row[top], tables.known[rank], len(rows))
-            odd = np.flatnonzero(~top)
+            odd = np.flatnonzero(~top & deep)  # the others come with a row of the tree
             n, m, k = len(blocks), len(rows), len(odd)
             none = lambda size, t: pa.nulls(size, t)
             whole, real = pa.int64(), pa.float64()
@@ -513,11 +515,12 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             a, b = grown(p, token, contexts, depth, learned, kept, least_gain)
             add(row[sure], np.log10(a[sure] + b[sure] * p[sure]))
             left = np.flatnonzero(~sure)
-            return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left])
+            is_word = (depth[left] == 0).astype(float)
+            return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left], is_word)
 
-        def batch_of(row, score, key, a, b) -> pa.RecordBatch:
+        def batch_of(row, score, key, a, b, is_word=None) -> pa.RecordBatch:
             none = lambda t: pa.nulls(len(row), t)
-            columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
+            columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()) if is_word is None else pa.array(is_word), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
             return pa.RecordBatch.from_arrays(columns, names=out_names)
 
         def add(row, score) -> None:
