@@ -133,7 +133,8 @@ class Tables:
     def below(self, token: np.ndarray, contexts: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(p, sure, key, kept): the probability of each token in its hot context of that depth
         (the root for 0), or something above it where that isn't sure, the number by which the
-        written tables know the pair, and whether that context is kept."""
+        written tables know the pair, and whether that context is kept.  A rare word is never
+        sure, as those tables alone know its base score."""
         top = token < len(self.p)
         p, sure = np.full(len(token), self.rare_p), top.copy()
         p[top] = self.p[token[top].astype(np.int64)]
@@ -144,7 +145,7 @@ class Tables:
                 key[at] = after(contexts[length - 1][at], self.key_of(token[at]))
                 slot = is_in(key[at], self.grams)
                 which = is_in(contexts[length - 1][at], table)
-                sure[at] = slot >= 0
+                sure[at] = top[at] & (slot >= 0)
                 p[at] = np.where(slot >= 0, self.gram_p[np.maximum(slot, 0)] if len(self.grams) else 0, above[which])
                 kept[at] &= is_kept[which]
         return p, sure, key, kept
@@ -328,7 +329,8 @@ def hot_level(source: DataFrame, sent, length: int) -> DataFrame:
 
 def with_hot_contexts(source: DataFrame, tables: Tables, values: DataFrame, hot: np.ndarray, limit: int, least_gain: float) -> DataFrame:
     """Fills ``tables`` with the contexts that more than ``limit`` tokens follow, level by level,
-    and returns ``values`` (key, p of each word at the root) with those of tokens in hot contexts.
+    and returns ``values`` (key, p of each word at the root, its base score and whether it is
+    known) with those of tokens in hot contexts.
 
     There are no more hot contexts of a length than tokens / ``limit``.
     """
@@ -343,21 +345,21 @@ def with_hot_contexts(source: DataFrame, tables: Tables, values: DataFrame, hot:
         rows = counts.where("context IS NOT NULL")
         of = rows.groupBy("context").agg(F.sum("t").cast("double").alias("total"), F.count(F.when(F.col("t") > 0, 1)).cast("double").alias("kinds"))
         # few and bounded as the hot contexts are, so the counts of a hot one need no hot join key
-        met = rows.join(F.broadcast(of), "context").join(values.select(F.col("key").alias("parent"), F.col("p").alias("below")), "parent")
+        met = rows.join(F.broadcast(of), "context").join(values.select(F.col("key").alias("parent"), F.col("p").alias("below"), "base", "known"), "parent")
         n = F.greatest("total", F.lit(1.0))
         p = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)) / n + F.col("kinds") * DISCOUNT / n * F.col("below")
         others, kinds = F.greatest(F.col("total") - 1, F.lit(1.0)), F.greatest(F.col("kinds") - F.when(F.col("t") == 1, 1).otherwise(0), F.lit(1.0))
         without = F.greatest(F.col("t") - 1 - DISCOUNT, F.lit(0.0)) / others + kinds * DISCOUNT / others * F.col("below")
         met = met.withColumns({"own": F.when(F.col("total") > 0, p).otherwise(F.col("below")), "gain": F.when(F.col("t") > 0, F.col("t") * F.log(without / F.col("below"))).otherwise(0.0)})
-        met = written(met.select("context", "shorter", "key", "n", "total", "kinds", "below", "own", "gain"), "smoothed")
+        met = written(met.select("context", "shorter", "key", "n", "total", "kinds", "below", "own", "gain", "base", "known"), "smoothed")
         stat = met.groupBy("context").agg(F.sum("gain").alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.first("shorter").alias("shorter")).toPandas()
         keep = (stat.total >= LEAST_COUNT) & (stat.gain > least_gain)
         if length > 1:
             table, is_kept, _ = tables.hot[-2]
             keep &= is_kept[is_in(stat.shorter.to_numpy().view(np.uint64), table)]
         kept = spark.createDataFrame(stat.assign(kept=keep)[["context", "kept"]], "context bigint, kept boolean") if len(stat) else None
-        level = met.join(F.broadcast(kept), "context").select("key", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below")).alias("p"), "n") if kept is not None else met.select("key", F.col("own").alias("p"), "n")
-        before, values = values, written(values.unionAll(level.select("key", "p", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("known"))), "values")
+        level = met.join(F.broadcast(kept), "context").select("key", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below")).alias("p"), "base", "known", "n") if kept is not None else met.select("key", F.col("own").alias("p"), "base", "known", "n")
+        before, values = values, written(values.unionAll(level.select("key", "p", "base", "known")), "values")
         best = level.orderBy(F.desc("n"), "key").limit(max(1, TOP_GRAMS // DEPTH)).select("key", "p", "n").toArrow()
         top.append((best.column(0).to_numpy().view(np.uint64), best.column(1).to_numpy()))
         table = tables.hot[-1][0]
@@ -431,12 +433,11 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
     sums = written(sums, "scores")
     told = values.select(F.col("key").alias("of"), "p", F.col("base").alias("word_base"), F.col("known").alias("word_known"))
     rest = sums.where("key IS NOT NULL").join(told, F.col("key") == F.col("of"))
-    of_tree, null = F.col("b") >= 0, F.lit(None)
-    is_word = ~of_tree | (F.col("known") == 1)
+    is_rare, null = F.col("known") == 1, F.lit(None)
     settled = rest.select(
         "row", null.cast(sums.schema["id"].dataType).alias("id"), null.cast("bigint").alias("n_tokens"),
-        F.when(of_tree, F.log10(F.col("a") + F.col("b") * F.col("p"))).alias("score"),
-        F.when(is_word, F.col("word_base")).alias("base_score"), F.when(is_word, F.col("word_known")).alias("known"),
+        F.log10(F.col("a") + F.col("b") * F.col("p")).alias("score"),
+        F.when(is_rare, F.col("word_base")).alias("base_score"), F.when(is_rare, F.col("word_known")).alias("known"),
     )
     every = sums.where("key IS NULL").select("row", "id", "n_tokens", "score", "base_score", "known").unionAll(settled)
     total = every.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
@@ -445,8 +446,8 @@ def score_texts(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_co
 
 def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float) -> DataFrame:
     """Rows (row, id, n_tokens, score, base_score, known) to be added up by row; and rows with a
-    key, for a token whose probability is a + b * p(key), unless b is -1; where b is -1 or known
-    is 1 the key is a word's, and its base score and whether it is known come with p."""
+    key, for a token whose probability is a + b * p(key); where known is 1 it is a rare word, whose
+    base score and whether it is known come with p."""
     spark = source.sparkSession
     sent = spark.sparkContext.broadcast(tables)
     id_type = source.schema["id"].dataType.simpleString()
@@ -457,12 +458,11 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
         tables = sent.value
         for rows, learned, lengths, row, before, token, ids in chunks(batches, tables.words):
             # the first context that isn't hot says where a token goes; without one it may go anywhere
-            route, deep = contexts_of(before[:1], tables.key_of)[0], np.zeros(len(token), bool)
+            route = contexts_of(before[:1], tables.key_of)[0]
             hot = np.flatnonzero(is_in(route, tables.hot[0][0]) >= 0) if tables.hot else np.zeros(0, np.int64)
             if len(hot):
                 contexts = contexts_of([x[hot] for x in before], tables.key_of)
                 depth = tables.hot_depth(contexts)
-                deep[hot] = True
                 onward = np.array(contexts)[np.minimum(depth, DEPTH - 1), np.arange(len(hot))]
                 route[hot] = np.where((depth == DEPTH) | (onward == 0), hot.astype(np.uint64), onward)
             part = (mix(route) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
@@ -485,21 +485,19 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             top = token < RARE
             rank = token[top].astype(np.int64)
             base, known = np.bincount(row[top], tables.base[rank], len(rows)), np.bincount(row[top], tables.known[rank], len(rows))
-            odd = np.flatnonzero(~top & deep)  # the others come with a row of the tree
-            n, m, k = len(blocks), len(rows), len(odd)
-            none = lambda size, t: pa.nulls(size, t)
+            n, m = len(blocks), len(rows)
+            none = pa.nulls
             whole, real = pa.int64(), pa.float64()
             columns = [
-                pa.array(np.r_[places, rows % parts, rows[row[odd]] % parts].astype(np.int32)),
-                pa.concat_arrays([pa.array(blocks, pa.binary()), none(m + k, pa.binary())]),
-                pa.array(np.r_[firsts, rows, rows[row[odd]]]),
-                pa.concat_arrays([none(n, arrow_id), pa.array(ids, arrow_id), none(k, arrow_id)]),
-                pa.concat_arrays([none(n, whole), pa.array(lengths, whole), none(k, whole)]),
-                pa.concat_arrays([none(n, real), pa.array(base), none(k, real)]),
-                pa.concat_arrays([none(n, real), pa.array(known), none(k, real)]),
-                pa.concat_arrays([none(n + m, whole), pa.array(tables.key_of(token[odd]).view(np.int64))]),
+                pa.array(np.r_[places, rows % parts].astype(np.int32)),
+                pa.concat_arrays([pa.array(blocks, pa.binary()), none(m, pa.binary())]),
+                pa.array(np.r_[firsts, rows]),
+                pa.concat_arrays([none(n, arrow_id), pa.array(ids, arrow_id)]),
+                pa.concat_arrays([none(n, whole), pa.array(lengths, whole)]),
+                pa.concat_arrays([none(n, real), pa.array(base)]),
+                pa.concat_arrays([none(n, real), pa.array(known)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "data", "row", "id", "n_tokens", "base_score", "known", "key"])
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "data", "row", "id", "n_tokens", "base_score", "known"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
@@ -515,12 +513,12 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             a, b = grown(p, token, contexts, depth, learned, kept, least_gain)
             add(row[sure], np.log10(a[sure] + b[sure] * p[sure]))
             left = np.flatnonzero(~sure)
-            is_word = (depth[left] == 0).astype(float)
-            return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left], is_word)
+            is_rare = (token[left] >= RARE).astype(float)
+            return batch_of(row[left], np.zeros(len(left)), key[left].view(np.int64), a[left], b[left], is_rare)
 
-        def batch_of(row, score, key, a, b, is_word=None) -> pa.RecordBatch:
+        def batch_of(row, score, key, a, b, is_rare=None) -> pa.RecordBatch:
             none = lambda t: pa.nulls(len(row), t)
-            columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()) if is_word is None else pa.array(is_word), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
+            columns = [pa.array(row), none(arrow_id), none(pa.int64()), pa.array(score), none(pa.float64()), none(pa.float64()) if is_rare is None else pa.array(is_rare), none(pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)]
             return pa.RecordBatch.from_arrays(columns, names=out_names)
 
         def add(row, score) -> None:
@@ -540,8 +538,8 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             is_block = batch.column(1).is_valid()
             rest = batch.filter(pc.invert(is_block))
             if rest.num_rows:
-                none, minus = pa.nulls(rest.num_rows, pa.float64()), pa.array(np.full(rest.num_rows, -1.0))
-                yield pa.RecordBatch.from_arrays([rest.column(2), rest.column(3), rest.column(4), none, rest.column(5), rest.column(6), rest.column(7), none, minus], names=out_names)
+                real, key = pa.nulls(rest.num_rows, pa.float64()), pa.nulls(rest.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([rest.column(2), rest.column(3), rest.column(4), real, rest.column(5), rest.column(6), key, real, real], names=out_names)
             batch = batch.filter(is_block)
             for part, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if part != at and held:
@@ -554,7 +552,7 @@ def tree_scores(source: DataFrame, tables: Tables, parts: int, least_gain: float
             yield work()
         yield from summed(0)
 
-    dealt = source.select("text", "learn", "id").mapInArrow(deal, f"part int, data binary, row bigint, id {id_type}, n_tokens bigint, base_score double, known double, key bigint")
+    dealt = source.select("text", "learn", "id").mapInArrow(deal, f"part int, data binary, row bigint, id {id_type}, n_tokens bigint, base_score double, known double")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(settle, f"row bigint, id {id_type}, n_tokens bigint, score double, base_score double, known double, key bigint, a double, b double")
 
