@@ -206,15 +206,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     """
     model = fit_toxicity(docs, labels, id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast((model.parts, float(model.bias[1] - model.bias[0])))
-    bare = docs.drop(score_col, predicted_col)
-    names, at = bare.columns, bare.columns.index(text_col)
-    schema = T.StructType([*bare.schema.fields, T.StructField(score_col, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parts, bias = sent.value
-        for batch in batches:
-            texts = batch.column(at).cast(pa.large_binary())
-            scores = [score_by_parts(parts, bias, t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, score_col])
+        for texts in batches:
+            yield pa.array([score_by_parts(parts, bias, t.as_py()) for t in texts], pa.float64())
+        pa.default_memory_pool().release_unused()
 
-    return bare.mapInArrow(run, schema).withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0))
+    # only texts go to Python and only scores come back; all else stays where it is
+    bare = docs.drop(score_col, predicted_col).withColumn(score_col, scored(F.col(text_col).cast("binary")))
+    return bare.withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0))
