@@ -78,9 +78,9 @@ def phones(text: str) -> Iterator[Span]:
 FINDERS: dict[str, Callable[[str], Iterator[Span]]] = {"email": emails, "ip": addresses, "card": cards, "phone": phones}
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
+def detect(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
     """(start, end, kind) of identifiers that stand in the text as they are."""
-    return [(start, end, kind) for kind, find in FINDERS.items() for start, end in find(text)]
+    return [(start, end, kind) for kind in kinds for start, end in FINDERS[kind](text)]
 
 
 # ---- transducers ----
@@ -229,24 +229,29 @@ def pluses(text: str) -> Rewritten | None:
     return rewrite(text, PLUSES, lambda m: "+")
 
 
+#: What reads a kind, after the homoglyphs: names of digits are words in an address of mail.
+CHAINS = ((("email",), (ats, dots)), (("ip", "card", "phone"), (spelled_digits, mixed_digits, dots, pluses)))
+
+
 def disguised(text: str, homoglyphs: Homoglyphs) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, as read) of identifiers that show only after the transducers; the ends
     are those of the source."""
-    stages = []
-    for step in (homoglyphs, spelled_digits, mixed_digits, ats, dots, pluses):
-        done = step(text)
-        if done is not None:
-            stages.append(done)
-            text = done.text
     found = []
-    if stages:
-        for start, end, kind in detect(text):
+    plain_text = homoglyphs(text)
+    for kinds, steps in CHAINS:
+        stages, now = ([plain_text], plain_text.text) if plain_text else ([], text)
+        for step in steps:
+            done = step(now)
+            if done is not None:
+                stages.append(done)
+                now = done.text
+        for start, end, kind in detect(now, kinds) if stages else ():
             a, b, any_rewritten = start, end, False
             for stage in reversed(stages):
                 a, b, here = stage.source(a, b)
                 any_rewritten |= here
             if any_rewritten:
-                found.append((a, b, kind, text[start:end]))
+                found.append((a, b, kind, now[start:end]))
     return found
 
 
