@@ -384,3 +384,13 @@ def test_lm_against_a_plain_tree(spark, monkeypatch, part, words, grams, gain):
     for i, w in tokens.items():
         assert (rows_of[i]["n_tokens"], rows_of[i]["n_known"]) == (len(w), sum(x in counts for x in w))
         assert rows_of[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / whole) for x in w))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_jaccard_beside_a_row_without_id(spark, parts):
+    """A text that a row without an id shares still stands for its set."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:-1]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = jaccard_components(df if parts == 1 else df.repartition(parts)).collect()
+    assert sorted(((r["doc_id"] or 0), r["component_id"]) for r in got) == [(0, None), (1, 1), (2, 1)]

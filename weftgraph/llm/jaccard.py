@@ -164,12 +164,12 @@ def described(texts: DataFrame, width: int, percent: int, bits: int, frequent, s
         seen: set = set()
         for batch in batches:
             n, fp, marks, first, orders = [], [], [], [], []
-            for text in as_bytes(batch.column(1)):
+            for named, text in zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True):
                 s = shingle_set(text, width)
                 n.append(len(s))
                 fp.append(fingerprint(s, seed) if len(s) else None)
                 marks.append(sketch(s) if len(s) else None)
-                new = len(s) > 0 and fp[-1] not in seen
+                new = named and len(s) > 0 and fp[-1] not in seen  # a row without an id can't stand for a set
                 if new and len(seen) < 500_000:
                     seen.add(fp[-1])
                 first.append(prefix(s, percent, ORDERS[0], frequent.value, bits).view(np.int64) if new else None)
