@@ -149,3 +149,20 @@ def test_top_k_of_huge_components(spark):
     near = [(0, [3e7, 3e7]), (1, [-3e7, 3e7]), (2, [1e7, -1e7])]  # parts near the edge, sums within
     got = exact_top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>"), k=2).collect()
     assert sorted((r["vec_id"], r["score"]) for r in got) == [(1, 0), (2, 0)]
+
+
+def test_top_k_of_a_huge_score_outside_the_result(spark):
+    rows = [(0, [4e13, 0.0]), (1, [-4e13, 0.0])] + [(i, [float(i) / 1e6, 1.0]) for i in range(2, 15)]
+    got = sorted((r["rank"], r["vec_id"]) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect())
+    assert got == list(enumerate([14, 13, 12, 11, 10], 1))
+    few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        exact_top_k(few).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_near_duplicates_of_repeated_ids_with_unlike_vectors(spark, parts):
+    """A row links with all others of its label that are near, whatever their ids."""
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.02], 1)]
+    got = embedding_near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(parts)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 1, False), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True)]

@@ -69,16 +69,18 @@ def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.n
     return row, cell, cell == own[row]
 
 
-def links_in_blocks(home: np.ndarray, ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, other_n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links_in_blocks(home: np.ndarray, ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, other_n: np.ndarray, threshold: float, keys: np.ndarray | None = None, other_keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each home row the copies that it links with, and pairs (id, smaller id) that connect
     what the links connect: within a block every row with the least id that it reaches there, so
-    a group in which all are linked gives no more pairs than it has rows in a block."""
+    a group in which all are linked gives no more pairs than it has rows in a block.  Rows with
+    one key are the same row; unless ``keys`` are given, ids are keys."""
+    keys, other_keys = (ids, other_ids) if keys is None else (keys, other_keys)
     count, pairs = np.zeros(len(home), np.int64), []
     for a in range(0, len(home), BLOCK):
         for b in range(0, len(other), BLOCK):
             mine, theirs = ids[a : a + BLOCK], other_ids[b : b + BLOCK]
             hit = home[a : a + BLOCK] @ other[b : b + BLOCK].T >= threshold
-            hit &= mine[:, None] != theirs[None, :]
+            hit &= keys[a : a + BLOCK, None] != other_keys[None, b : b + BLOCK]
             rows, cols = np.nonzero(hit)
             if not len(rows):
                 continue
@@ -98,7 +100,8 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
     at least ``threshold``.  Vectors of unlike width never link.  Vectors that are null,
     empty, zero, or that hold null or non-finite components link with nothing, nor do rows with a
     null id (which have a null component and are not kept).  Rows that repeat an id are told
-    apart as rows but are one node for components.
+    apart as rows, each with the links of its own vector, those to rows of its id too, but are one
+    node for components.
 
     Copies of one vector under one label collapse to the least id before anything is compared.
     Cells are (label, width, centre); a cell's home rows meet all that can link with them, in tasks of a
@@ -114,13 +117,13 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
 
     rows = written(vectors.select(F.col(id_col), F.col(vector_col), F.col(label_col)).mapInArrow(scale, f"id bigint, unit binary, label {label_type}"), "vectors")
     able = rows.where("id IS NOT NULL AND unit IS NOT NULL AND label IS NOT NULL")
-    distinct = written(able.groupBy("label", "unit").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    distinct = written(able.groupBy("label", "unit").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "distinct")
     n = distinct.count()
     width = F.octet_length("unit").alias("width")
     sizes = {r["width"]: (r["n"], r["labels"]) for r in distinct.groupBy(width).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()}
     share = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(1, n)))
     sample: dict[int, list[bytes]] = {}
-    for u in distinct.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).orderBy("id", "label").select("unit").toArrow().column(0).to_pylist():
+    for u in distinct.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).orderBy("id", "label", "unit").select("unit").toArrow().column(0).to_pylist():
         sample.setdefault(len(u), []).append(u)
     # each width has its own centres; one of which too few are sampled is a single cell
     fitted = {}
@@ -140,30 +143,30 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
                 x = np.array([np.frombuffer(units[i]) for i in at])
                 row, cell, home = cells_of(x, centres.value.get(w, np.ones((1, w // 8))), threshold)
                 take = pa.array(np.array(at)[row])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(row), w, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["label", "width", "cell", "home", "unit", "id", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(row), w, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), batch.column(4).take(take)], names=["label", "width", "cell", "home", "unit", "id", "n", "key"])
 
-    dealt = written(distinct.select("label", "unit", "id", "n").mapInArrow(deal, f"label {label_type}, width int, cell int, home boolean, unit binary, id bigint, n bigint"), "cells")
+    dealt = written(distinct.select("label", "unit", "id", "n", "key").mapInArrow(deal, f"label {label_type}, width int, cell int, home boolean, unit binary, id bigint, n bigint, key bigint"), "cells")
     # a cell is cut into blocks by a hash, and each task compares two blocks of it: a cell of any
     # size is never in one task
     size = dealt.groupBy("label", "width", "cell").agg(F.count("*").alias("size"))
     blocks = dealt.join(size, ["label", "width", "cell"]).withColumn("blocks", F.ceil(F.col("size") / (2 * CELL_ROWS)).cast("int")).drop("size")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     as_home = blocks.where("home").withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
     as_other = blocks.withColumn("y", F.col("block")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(False))
-    task = as_home.unionByName(as_other).select("label", "width", "cell", "x", "y", "side", "id", "n", "unit")
+    task = as_home.unionByName(as_other).select("label", "width", "cell", "x", "y", "side", "id", "n", "unit", "key")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         home, other = pdf[pdf.side], pdf[~pdf.side]
         unit = lambda p: np.frombuffer(b"".join(p.unit)).reshape(len(p), -1)
-        count, pairs = links_in_blocks(unit(home), home.id.to_numpy(), unit(other), other.id.to_numpy(), other.n.to_numpy(), threshold) if len(home) and len(other) else (np.zeros(len(home), np.int64), np.zeros((0, 2), np.int64))
+        count, pairs = links_in_blocks(unit(home), home.id.to_numpy(), unit(other), other.id.to_numpy(), other.n.to_numpy(), threshold, home.key.to_numpy(), other.key.to_numpy()) if len(home) and len(other) else (np.zeros(len(home), np.int64), np.zeros((0, 2), np.int64))
         some = count > 0
-        a = np.r_[home.id.to_numpy()[some], pairs[:, 0]]
+        a = np.r_[home.key.to_numpy()[some], pairs[:, 0]]  # counts go by key, pairs by id
         b = pd.arrays.IntegerArray(np.r_[np.zeros(some.sum(), np.int64), pairs[:, 1]], np.arange(len(a)) < some.sum())
         return pd.DataFrame({"label": pd.Series([key[0]] * len(a), dtype=object), "width": np.full(len(a), key[1], np.int32), "a": a, "b": b, "links": np.r_[count[some], np.zeros(len(pairs), np.int64)]})
 
     found = written(task.groupBy("label", "width", "cell", "x", "y").applyInPandas(compare, f"label {label_type}, width int, a bigint, b bigint, links bigint"), "links")
-    counted = found.where("b IS NULL").groupBy("label", "width", F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
-    reps = distinct.select("label", "unit", width, F.col("id").alias("rep"), "n").join(counted, ["label", "width", "rep"], "left").drop("width")
+    counted = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("others"))
+    reps = distinct.select("label", "unit", F.col("id").alias("rep"), "n", "key").join(counted, "key", "left").drop("key")
     linked = written(able.join(reps, ["label", "unit"]).select("id", "rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "nodes")
     edges = found.where("b IS NOT NULL").select("a", "b").unionAll(linked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     component = component_labels(edges, "a", "b").select(F.col("id").alias("node"), "component")

@@ -46,14 +46,10 @@ def rotation(gram: np.ndarray) -> np.ndarray:
 
 def products(x: np.ndarray, q: np.ndarray, bound: float) -> list[int]:
     """Exact inner products of the rows of ``x`` with ``q``; ``bound`` is above the product of their
-    lengths.  Where 64 bits might not do, whole numbers of any size are used; a score beyond 64
-    bits is an error."""
+    lengths.  Where 64 bits might not do, whole numbers of any size are used."""
     if bound < 2.0**62:
         return (x @ q).tolist()
-    exact = (x.astype(object) @ q.astype(object)).tolist()
-    if any(not -(2**63) <= s < 2**63 for s in exact):
-        raise OverflowError(f"a score is beyond 64 bits, at the query {q.tolist()!r:.200}")
-    return exact
+    return (x.astype(object) @ q.astype(object)).tolist()
 
 
 class Searcher:
@@ -105,8 +101,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
 
     Components become floor(scale * x).  Vectors that are null or hold null or non-finite
     components take no part, nor do rows with a null id; a vector of another width than the most
-    common one neither.  Scores are exact; a component or a score that 64 bits can't hold is an
-    error, never a wrapped or a missing number.  Of rows that repeat an id each is a candidate and a query of its own.
+    common one neither.  Scores are exact; a component, or a score among a query's ``k``, that 64 bits can't
+    hold is an error, never a wrapped or a missing number.  Of rows that repeat an id each is a candidate and a query of its own.
     Fewer than ``k`` candidates give as many rows; an empty table gives none.
 
     Candidates are written once, by descending length, and read by each pass over the queries,
@@ -174,9 +170,15 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
                     # later rows may be longer: a task, and so a batch, can hold the files of several ranges
                     finder.block(part.column(1).to_numpy(), part.column(0).to_numpy(), unpack(part.column(2).to_pylist()))
             got = [(int(q_rows[i]), int(q_ids[i]), -neg, s) for i, heap in enumerate(finder.heaps) for s, neg in heap]
-            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(4)], names=["q_row", "query_id", "id", "score"])
+            # a score beyond 64 bits keeps its place at one end of the order: if it is too high, so
+            # is any that beats it; if too low, only others like it don't
+            beyond = pa.array([not -(2**63) <= g[3] < 2**63 for g in got], pa.bool_())
+            score = pa.array([max(-(2**63), min(2**63 - 1, g[3])) for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array([g[j] for g in got], pa.int64()) for j in range(3)], score, beyond], names=["q_row", "query_id", "id", "score", "beyond"])
 
-        found = ordered.select("row", "id", "unit").mapInArrow(search, "q_row bigint, query_id bigint, id bigint, score bigint")
+        found = ordered.select("row", "id", "unit").mapInArrow(search, "q_row bigint, query_id bigint, id bigint, score bigint, beyond boolean")
         results = found if results is None else results.unionAll(found)
     rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "id"))
-    return results.select("query_id", rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
+    top = results.withColumn("rank", rank).where(F.col("rank") <= k)
+    score = F.when(F.col("beyond"), F.raise_error(F.concat(F.lit("a score is beyond 64 bits, at the query "), F.col("query_id").cast("string"))).cast("bigint")).otherwise(F.col("score"))
+    return top.select("query_id", "rank", F.col("id").alias(id_col), score.alias("score"))
