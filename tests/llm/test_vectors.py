@@ -152,7 +152,7 @@ def test_top_k_of_huge_components(spark):
 
 
 def test_top_k_of_a_huge_score_outside_the_result(spark):
-    rows = [(0, [4e13, 0.0]), (1, [-4e13, 0.0])] + [(i, [float(i) / 1e6, 1.0]) for i in range(2, 15)]
+    rows = [(0, [4e13, 0.0]), (1, [-4e13, 0.0])] + [(i, [i / 100, 1.0]) for i in range(2, 15)]
     got = sorted((r["rank"], r["vec_id"]) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect())
     assert got == list(enumerate([14, 13, 12, 11, 10], 1))
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>")
