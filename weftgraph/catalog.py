@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ from weftgraph.functions.transforms import transform
 from weftgraph.graph import Graph
 from weftgraph.operators import factors, neighbourhoods, paths, ranks, relational
 from weftgraph.operators.components import connected_components
-from weftgraph.plans.lineage import written
+from weftgraph.plans.lineage import shared_dir, written
 from weftgraph.plans.pregel import pregel_pagerank_until
 from weftgraph.sources import derived as D
 from weftgraph.sources.derived import Derived, duck
+from weftgraph.sources import parts as parts_source
+from weftgraph.sources import text as text_source
 from weftgraph.sources.text import ring as ring_rows
 from weftgraph.streaming.degrees import streaming_degrees
 
@@ -543,3 +546,79 @@ def _pagerank_until_sql(tolerance: float) -> str:
 @query("pagerank_until", _pagerank_until_sql(1e-6))
 def _(d):
     return rounded(pregel_pagerank_until(d.graph(), 1e-6)[1], "change", "low", "high", digits=10)
+
+
+# Loading: written as text by the engine, and read again
+
+
+def _scratch(d: Derived, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(d.spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+
+
+_EDGE_SCHEMA = "from_node bigint, to_node bigint, type string, weight int, timestamp string"
+
+
+@query("load_parts", sql("SELECT * FROM edge_meta WHERE type = 'Family' AND weight >= 50", "edge_meta"))
+def _(d):
+    """Edges written in parts and committed, then read with filters that reach the reader."""
+    parts_source.register(d.spark)
+    path = _scratch(d, "parts")
+    d.edge_meta.repartition(6, "weight").write.format(parts_source.NAME).option("codec", "gz").mode("append").save(path)
+    loaded = d.spark.read.format(parts_source.NAME).schema(_EDGE_SCHEMA).load(path)
+    return loaded.where((F.col("type") == "Family") & (F.col("weight") >= 50))
+
+
+@query("load_rejects", sql("""
+    SELECT CASE WHEN good THEN type END AS type, count(*) FILTER (good) AS edges, CAST(coalesce(sum(weight) FILTER (good), 0) AS BIGINT) AS weight, count(*) FILTER (NOT good) AS rejects
+    FROM (SELECT *, (from_node + to_node) % 11 <> 0 AND from_node % 13 <> 0 AS good FROM edge_meta) GROUP BY 1""", "edge_meta"))
+def _(d):
+    """Lines of which some have a weight that is no number, some lack a field: those are rejects."""
+    parts_source.register(d.spark)
+    path = _scratch(d, "lines")
+    weight = F.concat(F.when((F.col("from_node") + F.col("to_node")) % 11 == 0, F.lit("w")).otherwise(F.lit("")), F.col("weight").cast("string"))
+    line = F.concat_ws("|", "from_node", "to_node", "type", weight, F.when(F.col("from_node") % 13 != 0, F.col("timestamp")))
+    d.edge_meta.select(line).write.text(path)
+    read = d.spark.read.format(parts_source.NAME).schema(f"{_EDGE_SCHEMA}, rejected string").option("sep", "|").option("on_error", "keep").option("split_bytes", 100_000)
+    return read.load(path).groupBy("type").agg(F.count("from_node").alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"), F.count("rejected").alias("rejects"))
+
+
+@query("text_weighted_edges", sql("SELECT from_node, to_node, 1e0 AS weight FROM edge", "edge"))
+def _(d):
+    path = _scratch(d, "edges")
+    d.edge.write.option("sep", "\t").csv(path)
+    return text_source.read_edges(d.spark, path, weight=1.0)
+
+
+@query("text_rated_edges", sql("SELECT \"user\", item, rating FROM ratings", "ratings"))
+def _(d):
+    path = _scratch(d, "ratings")
+    d.ratings.write.option("sep", "\t").csv(path)
+    return text_source.read_delimited(d.spark, path, text_source.RATINGS)
+
+
+@query("text_labelled_nodes", sql("SELECT id, id AS value FROM node", "node"))
+def _(d):
+    """Nodes of components, each with its own id to start from, written as id and value."""
+    path = _scratch(d, "nodes")
+    text_source.write_values(d.node.withColumn("value", F.col("id")), path)
+    return text_source.read_delimited(d.spark, path, text_source.LABELLED_NODES)
+
+
+@query("text_vectors", sql("SELECT id, id / 4e0 AS x, -id / 8e0 AS y FROM node", "node"))
+def _(d):
+    """Vectors of nodes, written joined by commas."""
+    path = _scratch(d, "vectors")
+    text_source.write_values(d.node.select("id", F.array(F.col("id") / F.lit(4.0), -F.col("id") / F.lit(8.0)).alias("value")), path)
+    vec = V.decode(F.col("value"))
+    return d.spark.read.option("sep", "\t").schema("id bigint, value string").csv(path).select("id", vec[0].alias("x"), vec[1].alias("y"))
+
+
+@query("text_metadata_nodes", sql(
+    "SELECT id, 0e0 AS value, " + ", ".join([f"CAST(id % {i + 1} AS INTEGER) AS a{i}" for i in range(1, 33)] + [f"(id % {i}) / 4e0 AS a{i}" for i in range(33, 51)] + [f"CAST(id % {i} AS VARCHAR) AS a{i}" for i in range(51, 61)]) + " FROM node", "node"))
+def _(d):
+    """Nodes with all sixty attributes: 32 whole numbers, 18 real ones, 10 texts."""
+    path = _scratch(d, "metadata")
+    whole, real, text = [(F.col("id") % (i + 1)).alias(f"a{i}") for i in range(1, 33)], [(F.col("id") % i / F.lit(4.0)).alias(f"a{i}") for i in range(33, 51)], [(F.col("id") % i).alias(f"a{i}") for i in range(51, 61)]
+    d.node.select("id", F.lit(0.0).alias("value"), *whole, *real, *text).write.option("sep", "\t").csv(path)
+    return text_source.read_delimited(d.spark, path, text_source.meta_nodes())
