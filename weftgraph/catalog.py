@@ -5,15 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as V
+from weftgraph.functions import phases as P
 from weftgraph.functions import table_functions as T
 from weftgraph.functions.aggregates import exact_gcd, exact_product, gcd
 from weftgraph.functions.transforms import transform
 from weftgraph.graph import Graph
-from weftgraph.operators import factors, neighbourhoods, paths, ranks, relational
+from weftgraph.operators import degrees, factors, neighbourhoods, paths, ranks, relational
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import shared_dir, written
 from weftgraph.plans.pregel import pregel_pagerank_until
@@ -622,3 +624,30 @@ def _(d):
     whole, real, text = [(F.col("id") % (i + 1)).alias(f"a{i}") for i in range(1, 33)], [(F.col("id") % i / F.lit(4.0)).alias(f"a{i}") for i in range(33, 51)], [(F.col("id") % i).alias(f"a{i}") for i in range(51, 61)]
     d.node.select("id", F.lit(0.0).alias("value"), *whole, *real, *text).write.option("sep", "\t").csv(path)
     return text_source.read_delimited(d.spark, path, text_source.meta_nodes())
+
+
+# Several phases, and functions over ordered rows
+
+
+@query("neighbour_degrees", sql(
+    "SELECT a.n AS degree, b.n AS neighbour_degree, count(*) AS pairs FROM uedge e JOIN d a ON a.id = e.from_node JOIN d b ON b.id = e.to_node GROUP BY ALL", "uedge",
+    d="SELECT from_node AS id, count(*) AS n FROM uedge GROUP BY from_node"))
+def _(d):
+    return degrees.neighbour_degrees(d.uedge)
+
+
+@query("running_gcd", """
+    WITH peers AS (SELECT l_suppkey, l_quantity, list_reduce(list(l_partkey), lambda a, b: gcd(a, b)) AS g FROM lineitem GROUP BY ALL),
+    runs AS (SELECT l_suppkey, l_quantity, list_reduce(list(g) OVER (PARTITION BY l_suppkey ORDER BY l_quantity), lambda a, b: gcd(a, b)) AS g FROM peers)
+    SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(r.g AS BIGINT) AS g FROM lineitem JOIN runs r USING (l_suppkey, l_quantity)""")
+def _(d):
+    lines = d.tables["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    return P.running_by_peers(lines, "g", "l_partkey", np.gcd, exact_gcd, ["l_suppkey"], "l_quantity").drop("l_quantity")
+
+
+@query("analytic_ranks", """SELECT o_orderkey, rank() OVER w AS place, dense_rank() OVER w AS dense
+    FROM orders WINDOW w AS (PARTITION BY o_custkey % 100 ORDER BY o_orderdate DESC)""")
+def _(d):
+    o = d.tables["orders"].select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 100).alias("k"))
+    placed = P.with_analytic(o, "place", "bigint", P.Rank, ["k"], ["o_orderdate DESC"])
+    return P.with_analytic(placed, "dense", "bigint", lambda: P.Rank(dense=True), ["k"], ["o_orderdate DESC"]).drop("k", "o_orderdate")

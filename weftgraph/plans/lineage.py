@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.plans.runs import current, delete_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
@@ -32,21 +34,23 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Unlike a local checkpoint the rows outlive any executor; unlike an RDD
-    checkpoint they stay columnar, so later reads prune columns.
+    checkpoint they stay columnar, so later reads prune columns.  Inside a
+    :func:`weftgraph.plans.runs.run` that was cancelled nothing is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
+    run = current()
+    if run is not None:
+        run.check()
+        run.folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/weftgraph/" in name}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
