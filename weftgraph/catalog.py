@@ -13,6 +13,7 @@ from weftgraph.functions import vectors as V
 from weftgraph.functions import phases as P
 from weftgraph.functions import table_functions as T
 from weftgraph.functions.aggregates import exact_gcd, exact_product, gcd
+from weftgraph.functions.packed import common_counts, pack_lists, packed_triangle_count
 from weftgraph.functions.transforms import transform
 from weftgraph.graph import Graph
 from weftgraph.operators import degrees, factors, neighbourhoods, paths, ranks, relational
@@ -651,3 +652,19 @@ def _(d):
     o = d.tables["orders"].select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 100).alias("k"))
     placed = P.with_analytic(o, "place", "bigint", P.Rank, ["k"], ["o_orderdate DESC"])
     return P.with_analytic(placed, "dense", "bigint", lambda: P.Rank(dense=True), ["k"], ["o_orderdate DESC"]).drop("k", "o_orderdate")
+
+
+# Packed lists of neighbours
+
+
+@query("packed_triangle_count", _triangle_sql("uedge"))
+def _(d):
+    return packed_triangle_count(written(neighbourhoods.ranked_edges(d.graph("uedge").materialised()), "ranked"))
+
+
+@query("packed_common_neighbours", sql("SELECT lo AS a, hi AS b, len(common) AS n FROM shared WHERE len(common) > 0", "uedge", nbs=_LISTS.format(e="uedge"), shared=_SHARED.format(e="uedge")))
+def _(d):
+    """How many neighbours the ends of each edge share, from packed lists of all neighbours."""
+    edges = written(d.uedge, "edges")
+    lists = written(pack_lists(edges, "from_node", "to_node"), "packed")
+    return common_counts(edges.where("from_node < to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")), lists, "from_node")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.plans.lineage import written
 from weftgraph.plans.loops import iterate
+from weftgraph.sources.layout import BySender
 
 
 def outbound_step(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -34,24 +35,19 @@ def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85, num_node
     n = num_nodes if num_nodes is not None else graph.nodes.count()
     if not n:
         return graph.nodes.select("id", F.lit(0.0).alias("value"))
-    spark = graph.edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     degree = graph.out_degrees().withColumnRenamed("id", "from_node")
-    shares = written(graph.edges.join(degree, "from_node").select("from_node", "to_node", (F.lit(1.0) / F.col("degree")).alias("share")), "shares")
-    # dealt by sender once: each update then shuffles ranks and sums, not edges
-    shares = shares.repartition(parts, "from_node").persist()
+    shares = graph.edges.join(degree, "from_node").select("from_node", "to_node", (F.lit(1.0) / F.col("degree")).alias("share"))
     nodes = written(graph.nodes.select("id"), "nodes")
+    # dealt by sender once: each update then shuffles ranks and sums, not edges
+    with BySender(shares) as laid:
 
-    def step(state: DataFrame, _: int) -> DataFrame:
-        got = shares.join(state, F.col("from_node") == F.col("id")).groupBy("to_node").agg(F.sum(F.col("value") * F.col("share")).alias("s"))
-        if mode == "inner":
-            return got.select(F.col("to_node").alias("id"), (F.lit((1 - damping) / n) + damping * F.col("s")).alias("value"))
-        return nodes.join(got, F.col("id") == F.col("to_node"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("value"))
+        def step(state: DataFrame, _: int) -> DataFrame:
+            got = laid.meet(state.withColumnRenamed("id", "from_node")).groupBy("to_node").agg(F.sum(F.col("value") * F.col("share")).alias("s"))
+            if mode == "inner":
+                return got.select(F.col("to_node").alias("id"), (F.lit((1 - damping) / n) + damping * F.col("s")).alias("value"))
+            return nodes.join(got, F.col("id") == F.col("to_node"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("value"))
 
-    try:
         return iterate(nodes.select("id", F.lit(1.0 / n).alias("value")), step, iterations, every)
-    finally:
-        shares.unpersist()
 
 
 def rank_summary(ranks: DataFrame) -> DataFrame:
@@ -68,23 +64,29 @@ def linerank_outbound(edges: DataFrame) -> DataFrame:
     return edges.join(follow, F.col("to_node") == F.col("head")).select("from_node", "to_node", (F.col("value") / F.col("n")).alias("new_value"))
 
 
-def linerank(graph: Graph, iterations: int = 10, damping: float = 0.85, num_edges: int | None = None) -> DataFrame:
+def linerank(graph: Graph, iterations: int = 10, damping: float = 0.85, num_edges: int | None = None, every: int = 5) -> DataFrame:
     """(from_node, to_node, value): rank of edges over the line graph, from 1/E.
 
-    Edges whose tail ends no edge of the round before drop out, as plain joins do.  What an edge
-    gets depends only on its tail, so a round is an aggregate by node and a join with it.  With
-    repeated edges every copy follows every edge.
+    Edges whose tail ends no edge of the round before drop out, as plain joins do.  With repeated
+    edges every copy follows every edge.
+
+    An edge's rank depends on its tail alone, so the state of a round is a value a tail, and edges
+    are dealt by tail once and only read in the rounds.  A tail stays if an edge of a tail that is
+    still there ends in it.
     """
     e = num_edges if num_edges is not None else graph.edges.count()
     edges = written(graph.edges.select("from_node", "to_node"), "edges")
-    start = edges.withColumn("value", F.lit(1.0 / max(e, 1)))
+    degree = edges.groupBy("from_node").agg(F.count("*").alias("n"))
+    start = written(degree.select(F.col("from_node").alias("tail"), "n", F.lit(1.0 / max(e, 1)).alias("value")), "tails")
+    with BySender(edges) as laid:
 
-    def step(state: DataFrame, _: int) -> DataFrame:
-        given = linerank_outbound(state).groupBy(F.col("to_node").alias("tail")).agg(F.sum("new_value").alias("s"))
-        return state.select("from_node", "to_node").join(given, F.col("from_node") == F.col("tail")).select("from_node", "to_node", (F.lit((1 - damping) / max(e, 1)) + damping * F.col("s")).alias("value"))
+        def step(state: DataFrame, _: int) -> DataFrame:
+            ends = laid.meet(state.select(F.col("tail").alias("from_node"), "value")).groupBy("to_node").agg(F.sum("value").alias("s"))
+            met = state.select("tail", "n").join(ends, F.col("tail") == F.col("to_node"))
+            return met.select("tail", "n", (F.lit((1 - damping) / max(e, 1)) + damping * F.col("s") / F.col("n")).alias("value"))
 
-    # a round reads its state three times, so each is written
-    return iterate(start, step, iterations, every=1)
+        tails = iterate(start, step, iterations, every)
+    return edges.join(tails.select(F.col("tail").alias("from_node"), "value"), "from_node").select("from_node", "to_node", "value")
 
 
 def linerank_of_nodes(edge_ranks: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.plans.lineage import forget, written
+from weftgraph.sources.layout import BySender
 
 #: Names that expressions can use: the vertex's columns by name, a message's combined value as
 #: ``msg``, the superstep as ``superstep``; in a message, edge columns by name and the sender's as
@@ -77,7 +78,7 @@ class Master:
 
 @dataclass
 class Pregel:
-    """Supersteps over a graph.
+    """Supersteps over a graph, whose edges are dealt by sender once (:class:`BySender`).
 
     ``initial``: columns of the vertex state.  ``send``: the message along each out-edge of an
     active vertex; null sends none.  ``send_to``: further messages, an array of structs (dst, msg)
@@ -103,12 +104,12 @@ class Pregel:
     on_superstep: Callable[[int, dict], None] | None = None
     history: list[dict] = field(default_factory=list)
 
-    def _messages(self, state: DataFrame, edges: DataFrame, globals_: dict) -> DataFrame:
+    def _messages(self, state: DataFrame, edges: BySender, globals_: dict) -> DataFrame:
         sending = state.where("active")
         parts = []
         if self.send is not None:
             struct = F.struct(*[c for c in state.columns if c != "active"]).alias("src")
-            met = sending.select(F.col("id").alias("from_node"), struct).join(edges, "from_node")
+            met = edges.meet(sending.select(F.col("id").alias("from_node"), struct))
             parts.append(met.select(F.col("to_node").alias("dst"), _col(self.send, globals_).alias("m")))
         if self.send_to is not None:
             parts.append(sending.select(F.explode(_col(self.send_to, globals_)).alias("x")).select(F.col("x.dst").alias("dst"), F.col("x.msg").alias("m")))
@@ -124,11 +125,14 @@ class Pregel:
     def run(self, max_supersteps: int = 100) -> DataFrame:
         """The state (id and the columns) after no vertex sends, the master halts, or
         ``max_supersteps``."""
+        with BySender(self.graph.edges) as edges:
+            return self._supersteps(edges, max_supersteps)
+
+    def _supersteps(self, edges: BySender, max_supersteps: int) -> DataFrame:
         names = list(self.initial)
-        edges = self.graph.edges
         state = self.graph.nodes.select("id", *[_col(e).alias(n) for n, e in self.initial.items()]).withColumn("active", F.lit(True))
         state = stored = written(state, "vertices")
-        n_vertices, n_edges = (stored.count(), edges.count()) if self.master is not None else (0, 0)
+        n_vertices, n_edges = (stored.count(), edges.table.count()) if self.master is not None else (0, 0)
         aggregates: dict = {}
         set_by_master: dict = {}
         for i in range(max_supersteps):
@@ -166,7 +170,7 @@ class Pregel:
 def _pagerank(graph: Graph, damping: float, **more: Any) -> Pregel:
     n = graph.nodes.count()
     degrees = graph.out_degrees().withColumnRenamed("id", "from_node")
-    edges = written(graph.edges.join(degrees, "from_node").select("from_node", "to_node", (F.lit(1.0) / F.col("degree")).alias("share")), "edges")
+    edges = graph.edges.join(degrees, "from_node").select("from_node", "to_node", (F.lit(1.0) / F.col("degree")).alias("share"))
     return Pregel(
         Graph(graph.nodes, edges), {"value": F.lit(1.0 / max(n, 1))}, F.sum, {"value": f"{(1 - damping)}D / {max(n, 1)} + {damping}D * coalesce(msg, 0D)"},
         send="src.value * share", **more,
