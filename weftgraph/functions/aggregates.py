@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two bigints: never negative, gcd(0, x) = |x|, null with null."""
+def gcd_of_series(x: pd.Series, y: pd.Series) -> pd.Series:
+    some = (x.notna() & y.notna()).to_numpy()
+    out = np.gcd(x.fillna(0).astype("int64").to_numpy(), y.fillna(0).astype("int64").to_numpy())
+    if (out[some] < 0).any():
+        raise OverflowError("2**63, the gcd of -2**63 with itself or 0, is no bigint")
+    return pd.Series(pd.array(out, dtype="Int64")).where(some)
 
-    @F.pandas_udf("bigint")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        some = x.notna() & y.notna()
-        out = np.gcd(x.fillna(0).astype("int64").to_numpy(), y.fillna(0).astype("int64").to_numpy())
-        return pd.Series(pd.array(out, dtype="Int64")).where(some.to_numpy())
 
-    return run(a.cast("bigint"), b.cast("bigint"))
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two bigints: never negative, gcd(0, x) = |x|, null with null.  2**63
+    is no bigint, so the one case that has it is an error."""
+    return F.pandas_udf(gcd_of_series, "bigint")(a.cast("bigint"), b.cast("bigint"))
 
 
 #: Python converts numbers of up to so many digits to and from text by itself.
@@ -61,20 +63,51 @@ def _gcd(values: list[int]) -> int:
     return math.gcd(*values)
 
 
+def to_bytes(n: int) -> bytes:
+    return n.to_bytes(n.bit_length() // 8 + 1, "big", signed=True)
+
+
+class Folding:
+    """A fold over values that come one by one.  Results are folded with results of as many values,
+    so a long product is made of few long factors, not of one that grows with each value."""
+
+    #: Values that are folded at a time.
+    FEW = 64
+
+    def __init__(self, fold: Callable[[list[int]], int]):
+        self.fold, self.fresh, self.parts = fold, [], []
+
+    def add(self, values: list[int]) -> None:
+        self.fresh += values
+        if len(self.fresh) >= self.FEW:
+            value, size = self.fold(self.fresh), 1
+            self.fresh = []
+            while self.parts and self.parts[-1][0] == size:
+                value, size = self.fold([self.parts.pop()[1], value]), size * 2
+            self.parts.append((size, value))
+
+    def result(self) -> int:
+        out = self.fold(self.fresh) if self.fresh else None
+        for _, value in reversed(self.parts):
+            out = self.fold([value] if out is None else [value, out])
+        return out
+
+
 def _fold(df: DataFrame, keys: list[str], columns: list[str], name: str, fold: Callable[[list[int]], int]) -> DataFrame:
     """Fold whole numbers by key in two phases: in each task, then over the tasks' results, so
     that no key's rows come together in one place.  Results are decimal text of any length."""
     k = len(keys)
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(batches: Iterator[pa.RecordBatch], ordered: bool = False) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
+    def run(batches: Iterator[pa.RecordBatch], last_phase: bool = False) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Folding] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             names = [*keys, name]
-            rows = [(*key, to_text(fold(v))) for key, v in held.items()]
+            shown, kind = (to_text, pa.string()) if last_phase else (to_bytes, pa.binary())
+            rows = [(*key, shown(v.result())) for key, v in held.items()]
             held.clear()
-            types = [schema.field(i).type for i in range(k)] + [pa.string()]
+            types = [schema.field(i).type for i in range(k)] + [kind]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(k + 1)], names=names)
 
         schema = None
@@ -82,25 +115,23 @@ def _fold(df: DataFrame, keys: list[str], columns: list[str], name: str, fold: C
             schema = batch.schema
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
-                values = [from_text(v) if isinstance(v, str) else int(v) for v in row[k:] if v is not None]
+                values = [from_text(v) if isinstance(v, str) else int.from_bytes(v, "big", signed=True) if isinstance(v, bytes) else int(v) for v in row[k:] if v is not None]
                 if values:
-                    mine = held.setdefault(row[:k], [])
-                    mine += values
-                    if len(mine) > 64:
-                        mine[:] = [fold(mine)]
+                    if row[:k] not in held:
+                        held[row[:k]] = Folding(fold)
+                    held[row[:k]].add(values)
             if len(held) > 200_000:
                 # in key order the last key may go on in the next batch
-                last = held.popitem() if ordered else None
+                last = held.popitem() if last_phase else None
                 yield from out()
                 held.update([last] if last else [])
         if held:
             yield from out()
 
-    shape = f"{types}, `{name}` string"
-    partial = df.select(*keys, *columns).mapInArrow(run, shape)
+    partial = df.select(*keys, *columns).mapInArrow(run, f"{types}, `{name}` binary")
     # a key has one row a task now
     dealt = partial.repartition(*keys).sortWithinPartitions(*keys) if keys else partial.coalesce(1)
-    return dealt.mapInArrow(lambda batches: run(batches, True), shape)
+    return dealt.mapInArrow(lambda batches: run(batches, True), f"{types}, `{name}` string")
 
 
 def exact_product(df: DataFrame, keys: list[str], columns: str | list[str], name: str) -> DataFrame:
@@ -125,13 +156,11 @@ def wrapped_product(df: DataFrame, keys: list[str], column: str, name: str) -> D
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names: gcd(a, b), agg_gcd(x), agg_product(x) (bigint; error on overflow)."""
+    """SQL names: gcd(a, b), agg_gcd(x), agg_product(x) (bigint; error on overflow).
 
-    @F.pandas_udf("bigint")
-    def gcd_udf(x: pd.Series, y: pd.Series) -> pd.Series:
-        some = x.notna() & y.notna()
-        out = np.gcd(x.fillna(0).astype("int64").to_numpy(), y.fillna(0).astype("int64").to_numpy())
-        return pd.Series(pd.array(out, dtype="Int64")).where(some.to_numpy())
+    An aggregate in Python has one phase in Spark: it gets a key's values together.  For keys of
+    very many rows there are :func:`exact_gcd` and :func:`exact_product`, which fold in each task.
+    """
 
     @F.pandas_udf("bigint")
     def agg_gcd(x: pd.Series) -> int:
@@ -141,6 +170,6 @@ def register(spark: SparkSession) -> None:
     def agg_product(x: pd.Series) -> int:
         return math.prod(int(v) for v in x.dropna())
 
-    spark.udf.register("gcd", gcd_udf)
+    spark.udf.register("gcd", F.pandas_udf(gcd_of_series, "bigint"))
     spark.udf.register("agg_gcd", agg_gcd)
     spark.udf.register("agg_product", agg_product)
