@@ -142,3 +142,20 @@ def test_gcd_that_is_no_bigint(spark):
     with pytest.raises(Exception, match="no bigint"):
         df.select(aggregates.gcd(F.col("a"), F.col("b"))).collect()
     assert df.select(aggregates.gcd(F.col("a"), F.lit(6))).first()[0] == 2
+
+
+def test_adjacency_lines(spark, tmp_path):
+    (tmp_path / "lists").write_text("1:2,3,\n2:\n\n 3: 4 , 5\n4:1\n")
+    got = sorted(map(tuple, text.read_adjacency(spark, str(tmp_path / "lists")).collect()))
+    assert got == [(1, 2), (1, 3), (3, 4), (3, 5), (4, 1)]
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from weftgraph.__main__ import main
+
+    assert main(["list"]) == 0 and "pagerank" in capsys.readouterr().out
+    assert main(["query", "triangle_count", data]) == 0 and "3287" in capsys.readouterr().out
+    (tmp_path / "e.txt").write_text("1 2\n2\t3\n")
+    assert main(["load", str(tmp_path / "e.txt"), str(tmp_path / "e.parquet")]) == 0
+    assert spark.read.parquet(str(tmp_path / "e.parquet")).count() == 2
+    assert main(["nothing"]) == 2 and main(["query", "nothing", data]) == 2

@@ -33,6 +33,12 @@ def test_master_sees_each_superstep_and_halts(graph):
     assert p.history == [{"total": 10 * i, "moved": 10} for i in (1, 2, 3)]
 
 
+def test_the_end_is_told(graph):
+    told = []
+    counting(graph, aggregators={"total": Aggregator("sum(n)")}, on_end=told.append, on_superstep=lambda i, values: told.append((i, values["total"]))).run(2)
+    assert told == [(0, 10), (1, 20), {"total": 20}]
+
+
 def test_halt_before_the_first_superstep(graph):
     p = counting(graph, master=lambda m: m.halt())
     assert {r["n"] for r in p.run().collect()} == {0} and p.history == []

@@ -22,6 +22,7 @@ from weftgraph.plans.lineage import shared_dir, written
 from weftgraph.plans.pregel import pregel_pagerank_until
 from weftgraph.sources import derived as D
 from weftgraph.sources.derived import Derived, duck
+from weftgraph.sources import layout
 from weftgraph.sources import parts as parts_source
 from weftgraph.sources import text as text_source
 from weftgraph.sources.text import ring as ring_rows
@@ -687,3 +688,30 @@ def _(d):
     edges = written(d.uedge, "edges")
     lists = written(pack_lists(edges, "from_node", "to_node"), "packed")
     return common_counts(edges.where("from_node < to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")), lists, "from_node")
+
+
+@query("text_ranked_nodes", sql("SELECT id, 1e0 / (SELECT count(*) FROM node) AS value FROM node", "node"))
+def _(d):
+    """Nodes from lines of ids, each with 1/N to start from."""
+    path = _scratch(d, "ids")
+    d.node.write.csv(path)
+    return text_source.read_nodes(d.spark, path, 1.0 / max(1, d.node.count()))
+
+
+@query("text_adjacency", sql("SELECT from_node, to_node FROM edge", "edge"))
+def _(d):
+    """Edges written a node and its neighbours a line, and read again."""
+    path = _scratch(d, "lists")
+    ends = F.concat_ws(",", F.sort_array(F.collect_list("to_node")).cast("array<string>"))
+    d.edge.groupBy("from_node").agg(ends.alias("ends")).select(F.concat(F.col("from_node").cast("string"), F.lit(":"), "ends", F.lit(","))).write.text(path)
+    return text_source.read_adjacency(d.spark, path)
+
+
+@query("two_step_paths", sql("SELECT e1.to_node AS id, count(*) AS paths, count(DISTINCT e2.to_node) AS ends FROM edge e1 JOIN edge e2 ON e1.to_node = e2.from_node GROUP BY e1.to_node", "edge"))
+def _(d):
+    """Two copies of the edges in as many buckets, by either end, meet without an exchange."""
+    name = f"edges_{uuid.uuid4().hex}"
+    layout.save_bucketed(d.edge, name, int(d.spark.conf.get("spark.sql.shuffle.partitions")), both=True, path=_scratch(d, "buckets"))
+    layout.analyse(d.spark, name)
+    e1, e2 = d.spark.table(f"{name}_by_to").select(F.col("to_node").alias("id")), d.spark.table(name).select(F.col("from_node").alias("id"), "to_node")
+    return e1.join(e2.hint("merge"), "id").groupBy("id").agg(F.count("*").alias("paths"), F.count_distinct("to_node").alias("ends"))

@@ -88,7 +88,7 @@ class Pregel:
     a null ``msg`` where there is none.  ``aggregators``: global values over the state after each
     superstep, for the driver, the master and later supersteps' expressions.  ``master``: runs
     before each superstep; it can halt, set global values, or raise.  ``on_superstep``
-    sees each superstep's end.
+    sees each superstep's end, ``on_end`` the last global values.
     """
 
     graph: Graph
@@ -102,6 +102,7 @@ class Pregel:
     aggregators: dict[str, Aggregator | Column] = field(default_factory=dict)
     master: Callable[[Master], None] | None = None
     on_superstep: Callable[[int, dict], None] | None = None
+    on_end: Callable[[dict], None] | None = None
     history: list[dict] = field(default_factory=list)
 
     def _messages(self, state: DataFrame, edges: BySender, globals_: dict) -> DataFrame:
@@ -164,6 +165,8 @@ class Pregel:
                 self.on_superstep(i, aggregates)
             forget(old)
             forget(messages)
+        if self.on_end is not None:
+            self.on_end(dict(aggregates))
         return state.drop("active")
 
 

@@ -14,15 +14,16 @@ from weftgraph.plans.runs import current, delete_folder
 HUB_EDGES = 1_000_000
 
 
-def save_bucketed(edges: DataFrame, name: str, buckets: int, both: bool = False) -> None:
+def save_bucketed(edges: DataFrame, name: str, buckets: int, both: bool = False, path: str | None = None) -> None:
     """``edges`` as table ``name``, bucketed and sorted by from_node; with ``both`` also as
-    ``name``_by_to, by to_node.
+    ``name``_by_to, by to_node; in the warehouse, or in folders under ``path``.
 
     A join or aggregation on the bucketing column reads such a table without an exchange, and two
     tables of as many buckets meet without a sort.
     """
     for table, by in [(name, "from_node")] + [(f"{name}_by_to", "to_node")] * both:
-        edges.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+        write = edges.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+        (write if path is None else write.option("path", f"{path}/{table}")).saveAsTable(table)
 
 
 def analyse(spark: SparkSession, name: str) -> None:

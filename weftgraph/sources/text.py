@@ -50,6 +50,15 @@ def read_edges(spark: SparkSession, path: str | list[str], weight: float | None
     return edges if weight is None else edges.withColumn("weight", F.lit(float(weight)))
 
 
+def read_adjacency(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Edges from lines ``id:n1,n2,...``, a node and its neighbours; a comma may end the line, and a node
+    without neighbours gives no edge."""
+    parts = F.split(F.trim("value"), ":", 2)
+    ends = F.filter(F.split(parts[1], ","), lambda x: F.trim(x) != "")
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return lines.select(parts[0].cast("long").alias("from_node"), F.explode(ends).alias("to")).select("from_node", F.trim("to").cast("long").alias("to_node"))
+
+
 def read_nodes(spark: SparkSession, path: str | list[str], value: float | None = 0) -> DataFrame:
     """Nodes from lines of one whole number, with ``value`` (a rank to start from, say)."""
     nodes = spark.read.schema(NODES).csv(path)
