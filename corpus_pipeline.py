@@ -18,6 +18,17 @@ from weftgraph.llm.toxicity import score_toxicity
 from weftgraph.plans.lineage import written
 
 
+#: Bytes of texts that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what workers get at a time by bytes, as texts can be long; the session's bound in rows
+    holds beside it.  This is a setting of the session, which takes effect when a stage's rows are
+    asked for, so it stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``docs`` has it, in any letter case."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -27,6 +38,7 @@ def unused(docs: DataFrame, name: str) -> str:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go.  Labels of one fold of three are never learned."""
+    bounded_batches(spark)
     learn = table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 3, 1))
     score, predicted = unused(docs, "score"), unused(docs, "predicted")
     scored = score_toxicity(docs, learn, threshold=0.7, score_col=score, predicted_col=predicted)
@@ -36,6 +48,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language is unknown or other than the one they name.  A document that
     names none stays if any language is recognised."""
+    bounded_batches(spark)
     pred, score = unused(docs, "lang_pred"), unused(docs, "score")
     named = identify_language(docs, docs.where(~in_fold(F.col("doc_id"), 3, 1)), pred_col=pred, score_col=score)
     return named.where((F.col(pred) != UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col(pred)))).select(docs.columns)
@@ -45,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates one row stays, of the smallest id; of rows that repeat an
     id each is judged by its own text.  A row without words is a group of its own, and so is a
     row without an id, as in op8: these all stay."""
+    bounded_batches(spark)
     key = unused(docs, "row_of_near_duplicates")
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     named = keyed.where("doc_id IS NOT NULL")
@@ -57,6 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of sequences of 4096 tokens."""
+    bounded_batches(spark)
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

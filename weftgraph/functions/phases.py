@@ -52,44 +52,39 @@ class Partition:
         return self._pieces
 
 
+def _segments(batches: Batches, keys: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The batches cut where a partition begins, each piece with whether one begins with it.  Borders
+    of a batch are found once, however many partitions it holds."""
+    last: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        starts = np.flatnonzero(begins(columns, last)).tolist() if keys else [0] * (last is None)
+        last = [c[-1].as_py() for c in columns]
+        begun = [True] * len(starts)
+        if not starts or starts[0]:
+            starts, begun = [0, *starts], [False, *begun]
+        for a, b, new in zip(starts, [*starts[1:], batch.num_rows], begun, strict=True):
+            yield new, batch.slice(a, b - a)
+
+
 def partitions_of(batches: Batches, keys: Sequence[str]) -> Iterator[Partition]:
     """The partitions of rows that come sorted by ``keys``, one after another."""
-    source = iter(batches)
-    waiting: list[pa.RecordBatch] = []
-    last: list | None = None
+    segments = _segments(batches, keys)
+    at = next(segments, None)
 
     def pieces() -> Iterator[pa.RecordBatch]:
-        """Pieces of the partition that begins now, until one of another key waits."""
-        nonlocal last
-        first = True
-        while True:
-            batch = waiting.pop() if waiting else next(source, None)
-            if batch is None:
+        """Pieces of the partition that begins now; what comes after it is left in ``at``."""
+        nonlocal at
+        while at is not None:
+            yield at[1]
+            at = next(segments, None)
+            if at is not None and at[0]:
                 return
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            if first:
-                last = [c[0].as_py() for c in columns]
-            starts = np.flatnonzero(begins(columns, last))
-            first = False
-            if len(starts) and starts[0] == 0:
-                waiting.append(batch)
-                return
-            if len(starts):
-                waiting.append(batch.slice(int(starts[0])))
-                yield batch.slice(0, int(starts[0]))
-                return
-            yield batch
 
-    while True:
-        while not waiting:
-            batch = next(source, None)
-            if batch is None:
-                return
-            if batch.num_rows:
-                waiting.append(batch)
-        head = waiting[-1]
+    while at is not None:
+        head = at[1]
         key = tuple(head.column(head.schema.get_field_index(k))[0].as_py() for k in keys)
         body = pieces()
         yield Partition(key, body)
