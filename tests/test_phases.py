@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions.aggregates import exact_gcd
-from weftgraph.functions.phases import Phase, Rank, RunningFold, begins, in_phases, partitions_of, running_by_peers, with_analytic
+from weftgraph.functions.phases import Phase, Rank, RunningFold, begins, gathered, in_phases, partitions_of, running_by_peers, with_analytic
 from weftgraph.operators.degrees import neighbour_degrees
 
 
@@ -56,6 +56,14 @@ def test_partitions_over_batches():
     assert len(whole) == 1 and whole[0].key == ()
 
 
+def test_small_batches_are_gathered():
+    many = [pa.record_batch({"a": pa.array([i] * (i % 3), pa.int64())}) for i in range(9000)]
+    out = list(gathered(iter(many)))
+    assert sum(b.num_rows for b in out) == 9000 and len(out) == 3
+    assert [x for b in out for x in b.column(0).to_pylist()] == [i for i in range(9000) for _ in range(i % 3)]
+    assert list(gathered(iter([]))) == [] == list(gathered(iter(many[:1])))
+
+
 def test_prepass_and_two_phases(small_batches):
     def per_task(part):
         yield pa.record_batch({"k": pa.array([r % 3 for rows in part for r in rows.column(0).to_pylist()], pa.int64())})

@@ -92,6 +92,26 @@ def partitions_of(batches: Batches, keys: Sequence[str]) -> Iterator[Partition]:
             pass
 
 
+#: Rows that go back to Spark at a time, where partitions give few rows each.
+GATHERED = 4096
+
+
+def gathered(batches: Batches) -> Batches:
+    """The same rows in fewer batches, as each one costs Spark more than a row does."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @dataclass(frozen=True)
 class Phase:
     """One phase: what it does with each partition, the rows that it gives, and how its input is
@@ -125,8 +145,7 @@ def in_phases(df: DataFrame, phases: Sequence[Phase]) -> DataFrame:
             df = df.repartition(*phase.partition_by).sortWithinPartitions(*phase.partition_by, *order)
 
         def run(batches: Batches, phase: Phase = phase) -> Batches:
-            for part in partitions_of(batches, phase.partition_by):
-                yield from phase.process(part)
+            yield from gathered(batch for part in partitions_of(batches, phase.partition_by) for batch in phase.process(part))
 
         df = df.mapInArrow(run, phase.schema)
     return df
