@@ -71,6 +71,16 @@ def test_peeling_covers_every_node(spark):
     assert peeled(star.edges.limit(0)).count() == 0 and cliques(star) == {}
 
 
+def test_peeling_in_several_rounds(spark):
+    """Leaves, then what they hang on, then a dense core."""
+    core = list(range(10))
+    pairs = list(itertools.combinations(core, 2)) + [(100 + i, c) for i in range(100) for c in core] + [(1000 + 20 * i + k, 100 + i) for i in range(100) for k in range(20)]
+    g = graph(spark, pairs)
+    levels = {r["id"]: r["level"] for r in peeled(g.edges).collect()}
+    assert {levels[1000], levels[100], levels[0]} == {0, 1, 2} and len(levels) == 2110
+    assert cliques(g) == {100 + i: 1 for i in range(100)}
+
+
 def test_earlier_nodes_rule_cliques_out():
     assert CliqueSearch(1, [(2, 3)]).run() == {3: 1}
     s = CliqueSearch(1, [(2, 3), (3, 4)])

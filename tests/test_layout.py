@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.plans.lineage import shared_dir
 from weftgraph.plans.pregel import Pregel
+from weftgraph.sources import layout
 from weftgraph.sources.layout import BySender
 
 
@@ -23,7 +24,8 @@ def met(spark, laid):
 
 
 @pytest.mark.parametrize("hub_edges", [10, 1000])
-def test_a_superstep_shuffles_no_edges(spark, edges, hub_edges):
+def test_a_superstep_shuffles_no_edges(spark, edges, hub_edges, monkeypatch):
+    monkeypatch.setattr(layout, "FEW_SENDERS", 0)
     with BySender(edges, hub_edges=hub_edges) as laid:
         plan = met(spark, laid)._jdf.queryExecution().executedPlan().toString()
         scan = next(x for x in plan.splitlines() if laid.name in x and "FileScan" in x)

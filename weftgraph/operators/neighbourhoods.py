@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -178,25 +179,28 @@ def peeled(edges: DataFrame) -> DataFrame:
     are at most about log2(nodes) rounds, and a node has few neighbours of its own level or later:
     some four times the densest part's edges a node, however large its degree.
     """
-    rest, levels, level = edges, None, 0
+    rest, levels, level = edges, [], 0
     while True:
         degrees = written(rest.groupBy(F.col("from_node").alias("id")).agg(F.count("*").alias("d")), "degrees")
         n, total = degrees.agg(F.count("*"), F.sum("d")).first()
         if not n:
             break
         limit = 2 * total / n
-        out = degrees.where(F.col("d") <= limit).select("id", F.lit(level).alias("level"))
-        levels = out if levels is None else levels.unionAll(out)
         stays = degrees.where(F.col("d") > limit).select("id")
         left = rest.join(stays.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(stays.withColumnRenamed("id", "to_node"), "to_node", "left_semi")
         rest, old = written(left.select("from_node", "to_node"), "rest"), rest
         # a node all of whose neighbours went has no edge left, and would be lost
-        alone = stays.join(rest.select(F.col("from_node").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level"))
-        levels = levels.unionAll(alone)
+        on = rest.select(F.col("from_node").alias("id")).distinct()
+        levels.append(written(degrees.select("id").join(on, "id", "left_anti").withColumn("level", F.lit(level)), "level"))
+        forget(degrees)
         if level:
             forget(old)
         level += 1
-    return edges.select(F.col("from_node").alias("id"), F.lit(0).alias("level")).limit(0) if levels is None else levels
+    if level:
+        forget(rest)
+    if not levels:
+        return edges.select(F.col("from_node").alias("id"), F.lit(0).alias("level")).limit(0)
+    return functools.reduce(DataFrame.unionAll, levels)
 
 
 class CliqueSearch:

@@ -12,6 +12,8 @@ from weftgraph.plans.runs import current, delete_folder
 
 #: A sender with more out-edges is dealt to several buckets.
 HUB_EDGES = 1_000_000
+#: With no more senders than this, how a round's join is done is left to Spark.
+FEW_SENDERS = 100_000
 
 
 def save_bucketed(edges: DataFrame, name: str, buckets: int, both: bool = False, path: str | None = None) -> None:
@@ -35,7 +37,8 @@ class BySender:
     """Edges in a bucketed table by sender, for loops that join them with a state each round.
 
     The edges are shuffled once, when the table is written to the shared folder; a round shuffles
-    the state to their buckets and hashes it there, so edges are neither dealt nor sorted again.
+    the state to their buckets and hashes it there, or broadcasts one that Spark knows to be small,
+    so edges are neither dealt nor sorted again.
     A sender with over ``hub_edges`` out-edges is salted: its edges lie in several buckets, and its
     state goes to each of these.  Use as a context manager, or call :meth:`drop` when done.
     """
@@ -44,10 +47,15 @@ class BySender:
         self.spark = edges.sparkSession
         # fewer buckets than a shuffle has partitions would have Spark deal the edges anew
         self.buckets = max(buckets or 0, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        degree = edges.groupBy("from_node").agg(F.count("*").alias("d")).where(F.col("d") > hub_edges)
+        # written as they come first, since hubs are looked for before edges are dealt
+        edges = plain = written(edges, "edges")
+        degree = written(edges.groupBy("from_node").agg(F.count("*").alias("d")), "degrees")
+        # a state of so few rows may be broadcast, if Spark finds it small
+        self.few = degree.count() <= FEW_SENDERS
         # at most edges / hub_edges rows
-        self.hubs = written(degree.select("from_node", F.ceil(F.col("d") / F.lit(hub_edges)).cast("int").alias("salts")), "hubs")
+        self.hubs = written(degree.where(F.col("d") > hub_edges).select("from_node", F.ceil(F.col("d") / F.lit(hub_edges)).cast("int").alias("salts")), "hubs")
         self.salted = not self.hubs.isEmpty()
+        forget(degree)
         # without hubs there is no salt: as a constant it would drop out of the join, and with it the buckets
         self.keys = ["from_node", "salt"] if self.salted else ["from_node"]
         if self.salted:
@@ -62,12 +70,13 @@ class BySender:
         dealt = edges.repartition(self.buckets, *self.keys).write.option("path", self.path)
         dealt.bucketBy(self.buckets, *self.keys).sortBy("from_node").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
+        forget(plain)
 
     def meet(self, senders: DataFrame) -> DataFrame:
         """``senders`` (from_node and further columns, a row a sender) joined with their edges."""
         if self.salted:
             senders = senders.join(self.hubs, "from_node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        return self.table.join(senders.hint("shuffle_hash"), self.keys).drop("salt")
+        return self.table.join(senders if self.few else senders.hint("shuffle_hash"), self.keys).drop("salt")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
