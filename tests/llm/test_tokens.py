@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weftgraph.llm.bpe import ByteBpe, bpe_round_trip, chunks_of
+from weftgraph.llm.common import Recent
 from weftgraph.llm.packing import OpenBins, best_fit_pack, pack_documents
 from weftgraph.llm.tokencount import token_counts
 
@@ -119,3 +120,20 @@ def test_bpe_is_the_library(text):
     assert BPE.encode(text) == want
     assert [i for c in chunks_of(BPE, text) for i in ([BPE.special[c]] if c in BPE.special else BPE.encode(c))] == want
     assert BPE.decode(want) == text
+
+
+def test_a_cache_is_bounded_in_bytes():
+    made = []
+
+    def make(keys):
+        made.extend(keys)
+        return [k * 2 for k in keys]
+
+    cache = Recent(make, limit=10 * (Recent.SLOT + 300))
+    for i in range(200):
+        keys = [b"%099d%d" % (i, j) for j in range(4)] + [b"often"]
+        assert all(cache.fill(keys)[k] == k * 2 for k in keys)
+        assert len(cache.young) + len(cache.old) <= 2 * (11 + 5)
+    assert made.count(b"often") == 1 and len(made) == 801
+    long = [b"x" * 10_000 + b"%d" % j for j in range(5)]
+    assert set(long) <= set(cache.fill(long)) and cache.fill([b"a"])[b"a"] == b"aa" and len(cache.young) == 1

@@ -138,7 +138,7 @@ def coder(tokenizer_path: str) -> tuple[ByteBpe, Recent]:
     """A vocabulary, and a bounded cache from chunks to (ids as text, their number, decoded bytes).
     A worker process keeps both from task to task."""
     bpe = ByteBpe(tokenizer_path)
-    of_word = Recent(lambda pre: [[bpe.special[p]] if p in bpe.special else bpe.merge(p.encode()) for p in pre])
+    of_word = Recent(lambda pre: [[bpe.special[p]] if p in bpe.special else bpe.merge(p.encode()) for p in pre], cost=lambda p, ids: len(p) + 8 * len(ids))
 
     def coded(chunks: list[str]) -> list[tuple[str, int, bytes]]:
         pre = [[c] if c in bpe.special else bpe.breaks.findall(c) for c in chunks]
@@ -148,7 +148,7 @@ def coder(tokenizer_path: str) -> tuple[ByteBpe, Recent]:
             out.append((",".join(map(str, ids)), len(ids), b"".join(map(raw, ids))))
         return out
 
-    return bpe, Recent(coded, 400_000)
+    return bpe, Recent(coded, 128 << 20, lambda chunk, value: len(chunk) + len(value[0]) + len(value[2]) + 150)
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:

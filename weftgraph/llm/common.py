@@ -45,23 +45,46 @@ def groups_of(texts: Iterable[bytes | str | None]) -> Iterator[tuple[int, int]]:
 
 class Recent:
     """A dict of bounded size: two generations, of which the older is dropped when the
-    younger is full.  What is asked for often moves on to the younger one."""
+    younger is full.  What is asked for often moves on to the younger one.
 
-    def __init__(self, make: Callable[[list], Iterable], limit: int = 300_000):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+    A generation is full at about ``limit`` bytes by ``cost`` (of an entry, beside what the dict
+    itself takes); one call can go beyond it by the entries that it asks for.
+    """
+
+    #: Bytes of an entry's slot in the dict and of the two objects' headers.
+    SLOT = 200
+
+    def __init__(self, make: Callable[[list], Iterable], limit: int = 64 << 20, cost: Callable = lambda key, value: len(key) + len(value)):
+        self.make, self.limit, self.cost, self.young, self.old, self.held = make, limit, cost, {}, {}, 0
+
+    def _keep(self, key, value) -> None:
+        self.young[key] = value
+        self.held += self.SLOT + self.cost(key, value)
 
     def fill(self, keys: Iterable) -> dict:
         """A dict that holds all ``keys``; those not known yet are made in one call."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         missing = [k for k in keys if k not in young]
         if old and missing:
             for k in missing:
                 if k in old:
-                    young[k] = old[k]
+                    self._keep(k, old[k])
             missing = [k for k in missing if k not in young]
         if missing:
             missing = list(dict.fromkeys(missing))
-            young.update(zip(missing, self.make(missing), strict=True))
+            for k, v in zip(missing, self.make(missing), strict=True):
+                self._keep(k, v)
         return young
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, an Arrow function, whose worker hands the memory that its task no longer uses back
+    to the system at the task's end, as workers outlive tasks and stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole

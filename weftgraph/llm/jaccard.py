@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes
+from weftgraph.llm.common import as_bytes, trimmed
 from weftgraph.operators.components import component_labels
 from weftgraph.plans.lineage import forget, release, written
 
@@ -29,6 +29,8 @@ BROADCAST_IDS = 1_000_000
 #: A text is verified against at most so many others in one task; a list of more members than
 #: BLOCK is compared in pairs of blocks.
 STAR, BLOCK = 512, 4_096
+#: A task remembers about so many pairs that it has handed on; others are handed on again.
+DONE = 100_000
 #: A task hands its hashes on when it holds so many.
 HELD = 2_000_000
 
@@ -148,7 +150,7 @@ def frequent_shingles(texts: DataFrame, width: int, bits: int) -> np.ndarray:
         often = n >= LEAST_FREQUENT
         return pd.DataFrame({"print": (np.int64(key[0]) << 32) | low[often].astype(np.int64), "n": n[often]})
 
-    rows = texts.select("text").mapInArrow(run, "bucket bigint, low binary, n binary").groupBy("bucket").applyInPandas(count, "print bigint, n bigint")
+    rows = texts.select("text").mapInArrow(trimmed(run), "bucket bigint, low binary, n binary").groupBy("bucket").applyInPandas(count, "print bigint, n bigint")
     top = rows.orderBy(F.desc("n"), "print").limit(FREQUENT).toArrow()
     out = np.zeros(top.num_rows, dtype=[("print", np.uint64), ("rank", np.int64)])
     out["print"], out["rank"] = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
@@ -180,7 +182,7 @@ def described(texts: DataFrame, width: int, percent: int, bits: int, frequent, s
             )
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {id_type}, n bigint, fp bigint, bits binary, first array<bigint>, orders array<binary>")
+    return texts.mapInArrow(trimmed(run), f"id {id_type}, n bigint, fp bigint, bits binary, first array<bigint>, orders array<binary>")
 
 
 def sharing_lists(sets: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: marks.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "orders")])
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "n_a", "bits_a", "orders_a", "n_b", "bits_b", "orders_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "n_a", "bits_a", "orders_a", "n_b", "bits_b", "orders_b").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def partners(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, cap: int) -> tuple[list, bool]:
@@ -253,7 +255,7 @@ def candidate_pairs(members: DataFrame, percent: int, cap: int) -> DataFrame:
                 pairs += [p for p in got if p not in done]
                 done.update(got)
                 more |= left
-            if len(done) > 1_000_000:
+            if len(done) > DONE:
                 done.clear()
             rows = pairs + [(None, None)] * more
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], names=["a", "b"])
@@ -283,7 +285,7 @@ def candidate_pairs(members: DataFrame, percent: int, cap: int) -> DataFrame:
     part = F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))
     cut = cut.withColumn("list", F.when(F.col("blocks") == 1, F.col("list")).otherwise(part))
     dealt = cut.select("list", "fp", "n", "bits", "comp").repartition("list").sortWithinPartitions("list", "fp")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, ids: DataFrame, texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -320,7 +322,7 @@ def verified(pairs: DataFrame, ids: DataFrame, texts: DataFrame, width: int, per
                         right.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

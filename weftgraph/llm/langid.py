@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import groups_of
+from weftgraph.llm.common import groups_of, trimmed
 
 #: Profiles come from at most about so many texts of each language, picked by a hash of the id.
 SAMPLE_ROWS = 2_000
@@ -110,7 +110,7 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n = np.bincount(slot, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = chosen.where(F.col("at") < limit).select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
+    counted = chosen.where(F.col("at") < limit).select("lang", "text").mapInArrow(trimmed(run), "lang string, gram bigint, n bigint")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = total.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place").collect()
@@ -140,4 +140,4 @@ def identify_language(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id",
             got = [predict(texts[i].as_py()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, pred_col, score_col])
 
-    return bare.mapInArrow(run, schema)
+    return bare.mapInArrow(trimmed(run), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Recent, as_bytes, groups_of
+from weftgraph.llm.common import Recent, as_bytes, groups_of, trimmed
 from weftgraph.plans.lineage import written
 
 #: A packing task gets about so many tokens, so their number follows the corpus.
@@ -123,7 +123,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, task_tokens: int = TASK_TOKENS, key: tuple[str, ...] = ("row", "piece")) -> DataFrame:
@@ -148,7 +148,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = OPEN
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(placed[:, 0] + base), pa.array(placed[:, 1])], names=[*names, "sequence_id", "offset"])
 
     dealt = pieces.repartition(tasks, F.xxhash64(*key)).sortWithinPartitions(F.desc("length"), *key)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
