@@ -255,6 +255,42 @@ def test_ngram_join_with_small_blocks_and_stars(spark, monkeypatch):
     test_ngram_join_against_all_pairs(spark)
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_only_lists_with_pairs_left_out_go_on(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    zero, ones = b"\0" * (SKETCH // 8), b"\xff" * (SKETCH // 8)
+    rows = [(1, k, 100, zero, k, 4) for k in range(4)]  # all may link
+    rows += [(2, 10 + k, 100 * 10**k, zero, 10 + k, 3) for k in range(3)]  # sizes rule all out
+    rows += [(3, 20, 100, zero, 20, 2), (3, 21, 100, ones, 21, 2), (4, 0, 100, zero, 0, 2), (4, 10, 100, zero, 0, 2)]
+    members = spark.createDataFrame(rows, "list bigint, fp bigint, n bigint, bits binary, comp bigint, size bigint")
+    for cap, on in ((1, {1}), (2, {1} if block > 2 else set()), (4, set())):
+        got = jaccard.candidate_pairs(members, 85, cap).collect()
+        left, pairs = {r["b"] for r in got if r["a"] is None}, {(r["a"], r["b"]) for r in got if r["a"] is not None}
+        assert on <= left <= {1} and all(a < b < 4 for a, b in pairs)
+        assert left or len(pairs) == 6
+
+
+def test_prefix_lists_cost_one_shuffle(spark):
+    sets = spark.range(40).selectExpr("id AS fp", "IF(id % 10 = 9, NULL, array(id % 7, 1000 + id)) AS first")
+    lists = jaccard.sharing_lists(sets)
+    got = {tuple(r) for r in lists.collect()}
+    of = {k: [i for i in range(40) if i % 10 != 9 and i % 7 == k] for k in range(7)}
+    assert got == {(k, i, at[0]) for k, at in of.items() for i in at}
+    plan = lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ShuffleQueryStage") == 2 and plan.count("ReusedExchange") == 1
+
+
+def test_marks_of_few_sets_are_enough(spark, monkeypatch):
+    sets = [shingle_set(" ".join(str(x) for x in range(i, 100 + i)).encode()) for i in range(0, 60, 3)]
+    marks = spark.createDataFrame([(i, len(s), sketch(s), [short_prefix(s, 85, k) for k in ORDERS[1:]]) for i, s in enumerate(sets)], "fp bigint, n bigint, bits binary, orders array<binary>")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 20)], "a bigint, b bigint")
+    whole = sorted(map(tuple, jaccard.let_through(pairs, marks, 85, True).collect()))
+    near = jaccard.let_through(pairs, marks, 85, False)
+    assert whole and sorted(map(tuple, jaccard.passing(near, marks, 85).collect())) == whole
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, jaccard.passing(near, marks, 85).collect())) == whole
+
+
 def test_lm_base_and_gain(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     got = {r["doc_id"]: r for r in op9_lm_score(spark, BIG).collect()}

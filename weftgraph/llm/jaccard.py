@@ -187,15 +187,15 @@ def described(texts: DataFrame, width: int, percent: int, bits: int, frequent, s
 
 def sharing_lists(sets: DataFrame) -> DataFrame:
     """(list, fp, pivot): the distinct sets of each token that is in the first-order prefix of
-    more than one, and the least of them."""
-    entries = sets.where("first IS NOT NULL").select(F.explode("first").alias("list"), "fp")
+    more than one, and the least of them.  Both sides read one shuffle."""
+    entries = sets.where("first IS NOT NULL").select(F.explode("first").alias("list"), "fp").repartition("list")
     shared = entries.groupBy("list").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").drop("last")
     return entries.join(shared, "list").distinct()
 
 
-def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes, sketches and all further orders let through; no text is read.
-    ``marks`` holds fp, n, bits and orders of each distinct set."""
+def let_through(pairs: DataFrame, marks: DataFrame, percent: int, orders: bool) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches let through, and with ``orders`` all further orders
+    too; no text is read.  ``marks`` holds fp, n, bits and orders of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +203,20 @@ def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([may_link(*r, percent) for r in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
+    marks = marks.select("fp", "n", "bits", "orders" if orders else F.array().cast("array<binary>").alias("orders"))
     side = lambda x: marks.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "orders")])
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return both.select("a", "b", "n_a", "bits_a", "orders_a", "n_b", "bits_b", "orders_b").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
+def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that sizes, sketches and all further orders let through.
+    Only marks of sets in these pairs are shuffled, unless there are very many."""
+    ends = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
+    few = marks.join(F.broadcast(ends), "fp", "left_semi") if ends.count() <= BROADCAST_IDS else marks
+    return let_through(pairs, few, percent, True)
+
+
 def partners(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, cap: int) -> tuple[list, bool]:
     """Pairs of one list that may reach the threshold and are in different components so far: for
     each member its first ``cap`` ones, and whether that left any out.
@@ -238,26 +247,27 @@ def partners(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray,
 
 
 def candidate_pairs(members: DataFrame, percent: int, cap: int) -> DataFrame:
-    """(a, b, more) from list members (list, fp, n, bits, comp).  A row with null a tells that
-    pairs were left out for a later round."""
+    """(a, b) from list members (list, fp, n, bits, comp, size).  A row with null a tells that pairs
+    of the list b were left out for a later round; other lists are done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         done: set = set()
 
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, fp, n, comp = (table.column(c).to_numpy() for c in ("list", "fp", "n", "comp"))
+            key, whole, fp, n, comp = (table.column(c).to_numpy() for c in ("list", "whole", "fp", "n", "comp"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(fp), -1)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            pairs, more = [], False
+            pairs, more = [], []
             for a, b in zip(starts.tolist(), np.r_[starts[1:], len(key)].tolist(), strict=True):
                 got, left = partners(fp[a:b], n[a:b], bits[a:b], comp[a:b], percent, cap)
                 pairs += [p for p in got if p not in done]
                 done.update(got)
-                more |= left
+                if left:
+                    more.append((None, int(whole[a])))
             if len(done) > DONE:
                 done.clear()
-            rows = pairs + [(None, None)] * more
+            rows = pairs + more
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -278,13 +288,12 @@ def candidate_pairs(members: DataFrame, percent: int, cap: int) -> DataFrame:
             yield from work(pa.Table.from_batches(kept))
 
     # a long list becomes a list for each pair of its blocks
-    size = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = members.join(size, "list").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    cut = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block")))
     cut = cut.withColumn("other", F.explode(other))
     part = F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other"))
-    cut = cut.withColumn("list", F.when(F.col("blocks") == 1, F.col("list")).otherwise(part))
-    dealt = cut.select("list", "fp", "n", "bits", "comp").repartition("list").sortWithinPartitions("list", "fp")
+    cut = cut.withColumn("whole", F.col("list")).withColumn("list", F.when(F.col("blocks") == 1, F.col("list")).otherwise(part))
+    dealt = cut.select("list", "whole", "fp", "n", "bits", "comp").repartition("list").sortWithinPartitions("list", "fp")
     return dealt.mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
@@ -340,7 +349,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     allow it, and is then verified on the whole sets.  First each set meets the least set of the
     lists it is in, which settles most groups of copies in one linear pass; then pairs across
     components are taken up in rounds, each allowing more partners a member, until every one is
-    ruled out or verified.
+    ruled out or verified.  A list goes to the next round only if pairs of it were left out.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -365,41 +374,42 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     nearest = met.groupBy("fp").agg(F.max(F.struct("k", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("fp").alias("b"))
     marks = able.where("first IS NOT NULL").select("fp", "n", "bits", "orders")
     marks = written(marks.join(lists.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "marks")
-    tested = written(passing(nearest, marks, percent), "candidates")
+    near = written(let_through(nearest, marks, percent, False), "near")
+    tested = written(passing(near, marks, percent), "candidates")
     edges = written(verified(tested, ids, named, width, percent, seed), "edges")
     labels = written(component_labels(edges, "a", "b"), "labels")
     release(spark)
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """(list, fp, comp) of the lists that reach over several components, one of each that
+        """(list, fp, comp, size) of the lists that reach over several components, one of each that
         have the same members."""
         of = labels.select(F.col("id").alias("fp"), F.col("component").alias("found"))
         at = rows.join(of, "fp", "left").select("list", "fp", F.coalesce("found", "fp").alias("comp"))
         same = [F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
         apart = at.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *same).where("low < high")
-        apart = apart.groupBy("size", "x1", "x2").agg(F.min("list").alias("list")).select("list")
-        return written(at.join(apart, "list", "left_semi"), "open")
+        apart = apart.groupBy("size", "x1", "x2").agg(F.min("list").alias("list")).select("list", "size")
+        return written(at.join(apart, "list"), "open")
 
     open_lists, cap = still_open(lists), 1
     forget(lists)
-    found = None
+    found = named
     while not open_lists.isEmpty():
-        if found is None:  # only these texts can be needed from here on
+        if cap > 1 and found is named:  # the first round closes most lists; only these texts can be needed from here on
             few = open_lists.select("fp").distinct().join(ids, "fp").select("id").distinct()
             found = written(named.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id"), "texts")
         now = open_lists.join(marks.select("fp", "n", "bits"), "fp")
         got = written(candidate_pairs(now, percent, cap).distinct(), "candidates")
         pairs = written(got.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "untested")
         new = written(verified(written(passing(pairs, marks, percent), "passed"), ids, found, width, percent, seed), "edges")
-        more = not got.where("a IS NULL").isEmpty()
+        left = got.where("a IS NULL").select(F.col("b").alias("list"))
         tested = tested.unionAll(pairs)
         if not new.isEmpty():
             edges = edges.unionAll(new)
             labels = written(component_labels(edges, "a", "b"), "labels")
         release(spark)
-        if not more:
+        if left.isEmpty():
             break
-        before, open_lists, cap = open_lists, still_open(open_lists), cap * 4
+        before, open_lists, cap = open_lists, still_open(open_lists.select("list", "fp").join(left, "list", "left_semi")), cap * 4
         forget(before)
     whole = able.select("id", "n", "fp").join(labels.select(F.col("id").alias("label_of"), "component"), F.col("fp") == F.col("label_of"), "left")
     whole = whole.select("id", "n", F.coalesce("component", "fp").alias("root"))
