@@ -1,6 +1,7 @@
 """Token counts, packing and BPE against the tokenizers library and plain versions."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from weftgraph.llm import packing
 from weftgraph.llm.bpe import ByteBpe, bpe_round_trip, chunks_of
 from weftgraph.llm.common import Recent
 from weftgraph.llm.packing import OpenBins, best_fit_pack, pack_documents
@@ -137,3 +139,24 @@ def test_a_cache_is_bounded_in_bytes():
     assert made.count(b"often") == 1 and len(made) == 801
     long = [b"x" * 10_000 + b"%d" % j for j in range(5)]
     assert set(long) <= set(cache.fill(long)) and cache.fill([b"a"])[b"a"] == b"aa" and len(cache.young) == 1
+
+
+def test_words_in_other_case_or_marks_are_made_once(monkeypatch):
+    made = []
+
+    class Noting(Recent):
+        def __init__(self, make, *args, **kwargs):
+            super().__init__(lambda keys: (made.extend(keys), make(keys))[1], *args, **kwargs)
+
+    monkeypatch.setattr(packing, "Recent", Noting)
+    random.seed(4)
+    letters = "".join(map(chr, range(0x21, 0x7F))) + "''ssTlLvVeErRdm<|>éÉßÀÿ×÷ÐÞªµ\x01\x1c\x7f\x85İ\u0301\u212a"
+    odd = {"".join(random.choice(letters) for _ in range(random.randrange(1, 9))) for _ in range(5000)}
+    odd |= {"<|startoftext|>", "a<|endoftext|>B", "<|ENDOFTEXT|>", "DON'T'll", "''s", "x" * 3000, "1" * 300}
+    chunks = ["Thaneation", "THANEATION.", "(thaneation)", "Ächtung", "ÄCHTUNG!", "×ächtung", *sorted(odd)]
+    known = packing.chunk_encoder.__wrapped__(WORDS).fill([c.encode() for c in chunks])
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.no_truncation()
+    for c in chunks:
+        assert np.frombuffer(known[c.encode()], "<u4").tolist() == tokenizer.encode(c, add_special_tokens=False).ids
+    assert made.count("thaneation") == made.count("ächtung") == 1

@@ -48,34 +48,32 @@ class Recent:
     younger is full.  What is asked for often moves on to the younger one.
 
     A generation is full at about ``limit`` bytes by ``cost`` (of an entry, beside what the dict
-    itself takes); one call can go beyond it by the entries that it asks for.
+    itself takes; without it, the lengths of key and value); one call can go beyond it by the
+    entries that it asks for.
     """
 
     #: Bytes of an entry's slot in the dict and of the two objects' headers.
     SLOT = 200
 
-    def __init__(self, make: Callable[[list], Iterable], limit: int = 64 << 20, cost: Callable = lambda key, value: len(key) + len(value)):
+    def __init__(self, make: Callable[[list], Iterable], limit: int = 64 << 20, cost: Callable | None = None):
         self.make, self.limit, self.cost, self.young, self.old, self.held = make, limit, cost, {}, {}, 0
 
-    def _keep(self, key, value) -> None:
-        self.young[key] = value
-        self.held += self.SLOT + self.cost(key, value)
+    def _keep(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.held += self.SLOT * len(keys) + (sum(map(self.cost, keys, values)) if self.cost else sum(map(len, keys)) + sum(map(len, values)))
 
     def fill(self, keys: Iterable) -> dict:
         """A dict that holds all ``keys``; those not known yet are made in one call."""
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        missing = [k for k in keys if k not in young]
+        missing = [k for k in (keys if isinstance(keys, set) else dict.fromkeys(keys)) if k not in young]
         if old and missing:
-            for k in missing:
-                if k in old:
-                    self._keep(k, old[k])
-            missing = [k for k in missing if k not in young]
+            again = [k for k in missing if k in old]
+            missing = [k for k in missing if k not in old]
+            self._keep(again, [old[k] for k in again])
         if missing:
-            missing = list(dict.fromkeys(missing))
-            for k, v in zip(missing, self.make(missing), strict=True):
-                self._keep(k, v)
+            self._keep(missing, list(self.make(missing)))
         return young
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.bpe import byte_letters
 from weftgraph.llm.common import Recent, as_bytes, groups_of, trimmed
 from weftgraph.plans.lineage import written
 
 #: A packing task gets about so many tokens, so their number follows the corpus.
 TASK_TOKENS = 16_000_000
 OPEN_BINS = 4096
+#: Bytes of a generation in the cache of words.
+WORD_BYTES = 32 << 20
 
 
 class OpenBins:
@@ -63,11 +69,34 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
+#: What a vocabulary's file says if all that happens to PLAIN chunks (printable ASCII and the Latin
+#: letters of U+00C0 to U+00FF, which are composed already) before the model is lower-casing,
+#: breaking into words as PLAIN_WORD does, and writing bytes as letters.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+PLAIN = re.compile(r"[!-~\xc0-\xff]+")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def breaks_plainly(spec: dict) -> bool:
+    """Whether PLAIN_WORD finds the words of lower-cased PLAIN chunks without added tokens."""
+    parts = [(spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers")]
+    return parts == [NORMALIZERS, PRE_TOKENIZERS] and spec.get("post_processor") is None and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+
+
 @functools.lru_cache(maxsize=1)
 def chunk_encoder(tokenizer_path: str) -> Recent:
     """A bounded cache from chunks without white space to their ids, as bytes of little-endian
     uint32.  For tokenizers that drop white space a text's ids are those of its chunks.  A worker
-    process keeps it from task to task."""
+    process keeps it from task to task.
+
+    Chunks of Latin letters differ mostly in case and in the marks around a word.  Where the
+    vocabulary breaks them plainly, their words have a cache of their own, which the tokenizer's
+    model fills; all other chunks, and those with added tokens, go to the whole tokenizer.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -75,9 +104,23 @@ def chunk_encoder(tokenizer_path: str) -> Recent:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plainly, model, letters = breaks_plainly(spec), tokenizer.model, dict(enumerate(byte_letters()))
+    added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
+
+    def tokenised(new: list[str]) -> list[bytes]:
+        spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in new)
+        return [array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in spelled]
+
+    words = Recent(tokenised, limit=WORD_BYTES)
+
     def make(chunks: list[bytes]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.asarray(c.ids, dtype="<u4").tobytes() for c in coded]
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        parts = [PLAIN_WORD.findall(t.lower()) if plainly and PLAIN.fullmatch(t) and not added.search(t) else None for t in texts]
+        coded = iter(tokenizer.encode_batch_fast([t for t, p in zip(texts, parts, strict=True) if p is None], add_special_tokens=False))
+        known = words.fill({w for p in parts if p is not None for w in p})
+        return [array("I", next(coded).ids).tobytes() if p is None else known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts]
 
     return Recent(make)
 
