@@ -18,7 +18,7 @@ from weftgraph.functions.transforms import transform
 from weftgraph.graph import Graph
 from weftgraph.operators import degrees, factors, neighbourhoods, paths, ranks, relational
 from weftgraph.operators.components import connected_components
-from weftgraph.plans.lineage import shared_dir, written
+from weftgraph.plans.lineage import release, shared_dir, written
 from weftgraph.plans.pregel import pregel_pagerank_until
 from weftgraph.sources import derived as D
 from weftgraph.sources.derived import Derived, duck
@@ -522,10 +522,19 @@ def _(d):
 UDTF_PARTITIONS = 16
 
 
-def _closed(d: Derived) -> tuple[Graph, DataFrame]:
-    """The symmetric graph and the wire rows of its second superstep."""
+def _symmetric(d: Derived) -> Graph:
+    """The symmetric graph, written; what was shuffled to make it goes from the disks."""
     g = d.graph("uedge").materialised()
-    return g, written(T.closed_pairs(written(neighbourhoods.ranked_edges(g), "ranked")), "wire")
+    release(d.spark)
+    return g
+
+
+def _closed(d: Derived) -> tuple[Graph, DataFrame]:
+    """The symmetric graph and the rows of its second superstep."""
+    g = _symmetric(d)
+    ranked = written(neighbourhoods.ranked_edges(g), "ranked")
+    release(d.spark)
+    return g, T.closed_pairs(ranked)
 
 
 @query("udtf_triangle", _triangle_sql("uedge"))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, IntegerType, IntegralType, LongType, ShortType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from weftgraph.functions import list_functions
+from weftgraph.plans.lineage import written
+
 #: Neighbours that a call of ``pregel_send`` holds at a time.
 BLOCK = 10_000
 
@@ -279,9 +282,11 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make the table functions of this module callable from SQL by name."""
+    """Make the table functions of this module, and those over lists, callable from SQL by name."""
     for name, handler in FUNCTIONS.items():
         spark.udtf.register(name, F.udtf(handler))
+    for name, (handler, schema) in list_functions.FUNCTIONS.items():
+        spark.udtf.register(name, F.arrow_udtf(handler, returnType=schema))
 
 
 def neighbour_blocks(edges: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -292,12 +297,16 @@ def neighbour_blocks(edges: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Columns of ``edges``: ``id``, ``edge``.  Repeated rows go, and so do rows with a null in either.
     """
-    simple = edges.select("id", "edge").where("id IS NOT NULL AND edge IS NOT NULL").distinct()
-    degree = simple.groupBy("id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    of = simple.join(degree, "id").withColumn("b", F.pmod(F.xxhash64("edge"), F.col("blocks")).cast("int"))
-    first = of.select("id", "edge", F.lit(0).alias("side"), F.col("b").alias("x"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("y"))
-    second = of.where("b > 0").select("id", "edge", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("x"), F.col("b").alias("y"))
-    return first.unionByName(second)
+    return _blocks(edges.select("id", "edge").where("id IS NOT NULL AND edge IS NOT NULL").distinct(), block)
+
+
+def _blocks(simple: DataFrame, block: int) -> DataFrame:
+    """As :func:`neighbour_blocks`; repeated rows stay.  Only hubs are looked up: they are few, and
+    are written, so that Spark knows how few before it shuffles the edges to them."""
+    hubs = written(simple.groupBy("id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"), "hubs")
+    of = simple.join(hubs, "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("edge"), F.col("blocks")).cast("int"))
+    met = of.select("id", "edge", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+    return met.select("id", "edge", F.when(F.col("t") < F.col("b"), 1).otherwise(0).alias("side"), F.least("b", "t").alias("x"), F.greatest("b", "t").alias("y"))
 
 
 def _views(**tables: DataFrame) -> dict[str, DataFrame]:
@@ -306,34 +315,45 @@ def _views(**tables: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-#: Supersteps in SQL.  {blocks}: neighbour blocks; {wire}: edges and messages; n: partitions.
-SENT = "SELECT id, edge, value FROM pregel_send(TABLE({blocks}) PARTITION BY (id, x, y) ORDER BY (side, edge))"
-COUNTED = "{name}(TABLE({{wire}}) PARTITION BY (id % {n}) ORDER BY (id, edge, value NULLS FIRST))"
+#: The first superstep in SQL, a message a pair; {blocks}: neighbour blocks.
+PAIRS = "SELECT id, edge, value FROM pregel_send(TABLE({blocks}) PARTITION BY (id, x, y) ORDER BY (side, edge))"
+#: The same in lists.  A partition has many nodes.
+SENT = "pregel_send_lists(TABLE({blocks}) PARTITION BY (pmod(xxhash64(id, x, y), 1000)) ORDER BY (id, x, y, side, edge))"
+
+
+def _sent(edges: DataFrame, block: int, columns: str) -> DataFrame:
+    """What the nodes ``id`` of ``edges`` (id, edge) tell their neighbours of each other."""
+    known = edges.where("id IS NOT NULL AND edge IS NOT NULL")
+    return edges.sparkSession.sql(f"SELECT {columns} FROM {SENT}", **_views(blocks=_blocks(known, block)))
 
 
 def closed_pairs(forward: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Wire rows (id, edge, value) of the second superstep: edges from the smaller id to the larger,
-    and what the first superstep sends.
+    """Rows (id, edge, value, width, others) of the second superstep: edges from the larger id to the
+    smaller, and the lists that the first superstep sends.
 
     ``forward`` has (a, b), each undirected edge once, from the end of lower degree, so that no
     node sends about more than some sqrt(2E) neighbours.
     """
-    blocks = neighbour_blocks(forward.select(F.col("a").alias("id"), F.col("b").alias("edge")), block)
-    sent = forward.sparkSession.sql(SENT, **_views(blocks=blocks))
-    edges = forward.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("edge"), F.lit(None).cast("double").alias("value"))
-    return edges.unionByName(sent)
+    forward = forward.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
+    sent = _sent(forward.select(F.col("a").alias("id"), F.col("b").alias("edge")), block, "id, CAST(NULL AS BIGINT) AS edge, value, width, others")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("value", "bigint"), ("width", "tinyint"), ("others", "binary"))]
+    return forward.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("edge"), *none).unionByName(sent)
+
+
+def _counted(name: str, rows: DataFrame, columns: str, partitions: int, order: str, *more: str, end: str = "") -> DataFrame:
+    """``columns`` of a table function that counts, by id over so many partitions."""
+    call = f"{name}({', '.join([f'TABLE({{rows}}) PARTITION BY (id % {int(partitions)}) ORDER BY ({order})', *more])})"
+    return rows.sparkSession.sql(f"SELECT {columns} FROM {call}{end}", **_views(rows=rows))
 
 
 def triangles_in_sql(wire: DataFrame, partitions: int = 16) -> DataFrame:
     """(triangles) of the rows of :func:`closed_pairs`."""
-    call = COUNTED.format(name="pregel_triangle", n=int(partitions))
-    return wire.sparkSession.sql(f"SELECT coalesce(sum(triangles), 0) AS triangles FROM {call}", **_views(wire=wire))
+    return _counted("pregel_triangle_lists", wire, "coalesce(sum(triangles), 0) AS triangles", partitions, "id, edge NULLS LAST")
 
 
 def pernode_triangles_in_sql(wire: DataFrame, partitions: int = 16) -> DataFrame:
     """(id, triangles) of the rows of :func:`closed_pairs`."""
-    call = COUNTED.format(name="pregel_pernode_triangle", n=int(partitions))
-    return wire.sparkSession.sql(f"SELECT id, sum(triangles) AS triangles FROM {call} GROUP BY id", **_views(wire=wire))
+    return _counted("pregel_pernode_triangle_lists", wire, "id, sum(triangles) AS triangles", partitions, "id, edge NULLS LAST", end=" GROUP BY id")
 
 
 def weak_ties_in_sql(edges: DataFrame, triangles: DataFrame, threshold: int, partitions: int = 16) -> DataFrame:
@@ -348,7 +368,7 @@ def overlap_messages(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, edge, value): for each two senders (``from_node``) id < edge how many receivers they share,
     added up in each task before it is shuffled."""
     blocks = neighbour_blocks(edges.select(F.col("to_node").alias("id"), F.col("from_node").alias("edge")), block)
-    sent = f"SELECT id, edge, CAST(count(*) AS DOUBLE) AS value FROM ({SENT}) GROUP BY id, edge"
+    sent = f"SELECT id, edge, CAST(count(*) AS DOUBLE) AS value FROM ({PAIRS}) GROUP BY id, edge"
     return edges.sparkSession.sql(sent, **_views(blocks=blocks))
 
 
