@@ -348,7 +348,8 @@ def _counted(name: str, rows: DataFrame, columns: str, partitions: int, order: s
 
 def triangles_in_sql(wire: DataFrame, partitions: int = 16) -> DataFrame:
     """(triangles) of the rows of :func:`closed_pairs`."""
-    return _counted("pregel_triangle_lists", wire, "coalesce(sum(triangles), 0) AS triangles", partitions, "id, edge NULLS LAST")
+    rows = wire.select("id", "edge", F.lit(0).cast("bigint").alias("value"), "width", "others")
+    return _counted("pregel_triangle_lists", rows, "coalesce(sum(triangles), 0) AS triangles", partitions, "id, edge NULLS LAST")
 
 
 def pernode_triangles_in_sql(wire: DataFrame, partitions: int = 16) -> DataFrame:
