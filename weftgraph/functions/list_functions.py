@@ -242,7 +242,45 @@ class PernodeTrianglesOfLists(_Closing):
                 yield pa.RecordBatch.from_arrays([pa.array(corners), pa.array(n.astype(np.int64))], names=["id", "triangles"])
 
 
+class WeakTiesOfBatches(_Rows):
+    """``pregel_weak_ties_batches(TABLE(t) PARTITION BY id % n ORDER BY id, threshold => 1000)``: (id, ties), as
+    ``pregel_weak_ties`` gives them of the same rows."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.degree, self.triangles, self.threshold = 0, 0, 0
+
+    def eval(self, rows, threshold) -> Iterator[pa.RecordBatch]:
+        rows = _table(rows)
+        if not rows.num_rows:
+            return
+        self.threshold = threshold[0].as_py()
+        ids, _ = self._ids(rows)
+        edge, value = _there(rows, "edge"), _there(rows, "value")
+        starts = _starts(ids)
+        degree = np.add.reduceat((edge & ~value).astype(np.int64), starts)
+        triangles = np.add.reduceat(np.where(edge | ~value, 0, _numbers(rows, "value")).astype(np.int64), starts)
+        nodes = ids[starts]
+        if nodes[0] == self.id:
+            degree[0] += self.degree
+            triangles[0] += self.triangles
+        elif self.id is not None:
+            yield from self.terminate()
+        self.id, self.degree, self.triangles = int(nodes[-1]), int(degree[-1]), int(triangles[-1])
+        yield from self._over(nodes[:-1], degree[:-1], triangles[:-1])
+
+    def _over(self, nodes: np.ndarray, degree: np.ndarray, triangles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ties = degree * (degree - 1) // 2 - triangles
+        over = ties >= self.threshold
+        if over.any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[over]), pa.array(ties[over].astype(np.float64))], names=["id", "ties"])
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if self.id is not None:
+            yield from self._over(*(np.array([n]) for n in (self.id, self.degree, self.triangles)))
+
+
 FUNCTIONS = {
     "pregel_send_lists": (SendLists, MESSAGE), "pregel_triangle_lists": (TrianglesOfLists, "triangles bigint"),
-    "pregel_pernode_triangle_lists": (PernodeTrianglesOfLists, "id bigint, triangles bigint"),
+    "pregel_pernode_triangle_lists": (PernodeTrianglesOfLists, "id bigint, triangles bigint"), "pregel_weak_ties_batches": (WeakTiesOfBatches, "id bigint, ties double"),
 }

@@ -359,10 +359,10 @@ def pernode_triangles_in_sql(wire: DataFrame, partitions: int = 16) -> DataFrame
 
 def weak_ties_in_sql(edges: DataFrame, triangles: DataFrame, threshold: int, partitions: int = 16) -> DataFrame:
     """(id, ties) from edges (from_node, to_node), both directions, and (id, triangles)."""
-    wire = edges.select(F.col("from_node").alias("id"), F.col("to_node").alias("edge"), F.lit(None).cast("double").alias("value"))
+    # that there is an edge is all that is asked
+    wire = edges.select(F.col("from_node").cast("bigint").alias("id"), F.when(F.col("to_node").isNotNull(), 0).cast("bigint").alias("edge"), F.lit(None).cast("double").alias("value"))
     wire = wire.unionByName(triangles.select("id", F.lit(None).cast("bigint").alias("edge"), F.col("triangles").cast("double").alias("value")))
-    call = f"pregel_weak_ties(TABLE({{wire}}) PARTITION BY (id % {int(partitions)}) ORDER BY id, threshold => {int(threshold)})"
-    return wire.sparkSession.sql(f"SELECT * FROM {call}", **_views(wire=wire))
+    return _counted("pregel_weak_ties_batches", wire, "*", partitions, "id", f"threshold => {int(threshold)}")
 
 
 def overlap_messages(edges: DataFrame, block: int = BLOCK) -> DataFrame:
