@@ -557,12 +557,12 @@ def _(d):
 
 @query("udtf_overlap", _overlap_sql("uedge", OVERLAP - 1))
 def _(d):
-    return T.strong_overlap_in_sql(T.overlap_messages(d.uedge), OVERLAP, partitions=UDTF_PARTITIONS)
+    return T.strong_overlap_in_sql(T.overlap_messages(_symmetric(d).edges), OVERLAP, partitions=UDTF_PARTITIONS)
 
 
 @query("udtf_strong_overlap", sql("SELECT n2 AS id, count(*) AS partners FROM o GROUP BY n2", "uedge", o=f"SELECT * FROM ({_overlap_sql('uedge', OVERLAP - 1)})"))
 def _(d):
-    return T.strong_overlap_in_sql(T.overlap_messages(d.uedge), OVERLAP, per_node=True, partitions=UDTF_PARTITIONS)
+    return T.strong_overlap_in_sql(T.overlap_messages(_symmetric(d).edges), OVERLAP, per_node=True, partitions=UDTF_PARTITIONS)
 
 
 #: The halting run in SQL takes so many rounds, of which those from the halt on are not looked at.

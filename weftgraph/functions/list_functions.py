@@ -280,7 +280,83 @@ class WeakTiesOfBatches(_Rows):
             yield from self._over(*(np.array([n]) for n in (self.id, self.degree, self.triangles)))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and how often each came, of such parts."""
+    if len(parts) == 1:
+        return parts[0]
+    numbers, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.zeros(len(numbers), dtype=np.int64)
+    np.add.at(n, place, np.concatenate([p[1] for p in parts]))
+    return numbers, n
+
+
+class OverlapOfLists(_Rows):
+    """``pregel_overlap_lists(TABLE(t) PARTITION BY id % n ORDER BY id, threshold => 100)``: (n1, n2, overlap) of
+    the pairs that ``threshold`` messages or more tell of.
+
+    Kept between batches: how often the last node has heard of each other."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.loose, self.threshold = 0, 1
+
+    def eval(self, rows, threshold) -> Iterator[pa.RecordBatch]:
+        rows = _table(rows)
+        if not rows.num_rows:
+            return
+        self.threshold = threshold[0].as_py()
+        ids, rank = self._ids(rows)
+        sizes, others = decode(ids, _numbers(rows, "width"), rows.column("others"))
+        if not len(others):
+            return
+        nodes = ids[_starts(ids)]
+        # a number for each (node, other), in 64 bits
+        low, known = int(others.min()), None
+        span = int(others.max()) - low + 1
+        if span * len(nodes) >= 1 << 63:
+            known, others = np.unique(others, return_inverse=True)
+            low, span = 0, len(known)
+        key = np.repeat(rank * span - low, sizes) + others
+        key.sort()
+        starts = _starts(key)
+        n = np.diff(np.append(starts, len(key)))
+        key = key[starts]
+
+        def other(k: np.ndarray) -> np.ndarray:
+            k = k % span + low
+            return k if known is None else known[k]
+
+        a, b = 0, int(np.searchsorted(key, (len(nodes) - 1) * span))
+        if nodes[0] == self.id:
+            a = int(np.searchsorted(key, span)) if len(nodes) > 1 else len(key)
+            self._keep(other(key[:a]), n[:a])
+        if len(nodes) > 1 or nodes[0] != self.id:
+            yield from self.terminate()
+            many = a + np.flatnonzero(n[a:b] >= self.threshold)
+            yield from self._found(nodes[key[many] // span], other(key[many]), n[many])
+            self.id, self.parts, self.loose = int(nodes[-1]), [], 0
+            self._keep(other(key[b:]), n[b:])
+
+    def _keep(self, others: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((others, n))
+        self.loose += len(others)
+        if self.loose > BATCH + 2 * len(self.parts[0][0]):
+            self.parts, self.loose = [_added(self.parts)], 0
+
+    def _found(self, ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(others), pa.array(ids), pa.array(n)], names=["n1", "n2", "overlap"])
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            others, n = _added(self.parts)
+            many = n >= self.threshold
+            yield from self._found(np.full(int(many.sum()), self.id, dtype=np.int64), others[many], n[many])
+
+
 FUNCTIONS = {
     "pregel_send_lists": (SendLists, MESSAGE), "pregel_triangle_lists": (TrianglesOfLists, "triangles bigint"),
     "pregel_pernode_triangle_lists": (PernodeTrianglesOfLists, "id bigint, triangles bigint"), "pregel_weak_ties_batches": (WeakTiesOfBatches, "id bigint, ties double"),
+    "pregel_overlap_lists": (OverlapOfLists, "n1 bigint, n2 bigint, overlap bigint"),
 }

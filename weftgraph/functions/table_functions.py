@@ -315,9 +315,7 @@ def _views(**tables: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-#: The first superstep in SQL, a message a pair; {blocks}: neighbour blocks.
-PAIRS = "SELECT id, edge, value FROM pregel_send(TABLE({blocks}) PARTITION BY (id, x, y) ORDER BY (side, edge))"
-#: The same in lists.  A partition has many nodes.
+#: The first superstep in SQL; {blocks}: neighbour blocks.  A partition has many nodes.
 SENT = "pregel_send_lists(TABLE({blocks}) PARTITION BY (pmod(xxhash64(id, x, y), 1000)) ORDER BY (id, x, y, side, edge))"
 
 
@@ -366,15 +364,12 @@ def weak_ties_in_sql(edges: DataFrame, triangles: DataFrame, threshold: int, par
 
 
 def overlap_messages(edges: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, edge, value): for each two senders (``from_node``) id < edge how many receivers they share,
-    added up in each task before it is shuffled."""
-    blocks = neighbour_blocks(edges.select(F.col("to_node").alias("id"), F.col("from_node").alias("edge")), block)
-    sent = f"SELECT id, edge, CAST(count(*) AS DOUBLE) AS value FROM ({PAIRS}) GROUP BY id, edge"
-    return edges.sparkSession.sql(sent, **_views(blocks=blocks))
+    """(id, width, others): what receivers tell their senders (``from_node``) of each other, the larger
+    of each two of the smaller."""
+    return _sent(edges.select(F.col("to_node").cast("bigint").alias("id"), F.col("from_node").cast("bigint").alias("edge")), block, "id, width, others")
 
 
 def strong_overlap_in_sql(messages: DataFrame, threshold: int, per_node: bool = False, partitions: int = 16) -> DataFrame:
     """(n1, n2, overlap), or with ``per_node`` (id, partners), of :func:`overlap_messages`."""
-    name, first, second = ("pregel_strong_overlap", "edge", "id") if per_node else ("pregel_overlap", "id", "edge")
-    call = f"{name}(TABLE({{messages}}) PARTITION BY ({first} % {int(partitions)}) ORDER BY ({first}, {second}), threshold => {int(threshold)})"
-    return messages.sparkSession.sql(f"SELECT * FROM {call}", **_views(messages=messages))
+    columns, end = ("n2 AS id, count(*) AS partners", " GROUP BY n2") if per_node else ("*", "")
+    return _counted("pregel_overlap_lists", messages, columns, partitions, "id", f"threshold => {int(threshold)}", end=end)
