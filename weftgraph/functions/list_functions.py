@@ -355,8 +355,18 @@ class OverlapOfLists(_Rows):
             yield from self._found(np.full(int(many.sum()), self.id, dtype=np.int64), others[many], n[many])
 
 
+class StrongOverlapOfLists(OverlapOfLists):
+    """``pregel_strong_overlap_lists(TABLE(t) PARTITION BY id % n ORDER BY id, threshold => 100)``: (id,
+    partners): with how many smaller nodes a node shares ``threshold`` neighbours or more."""
+
+    def _found(self, ids: np.ndarray, others: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nodes, partners = np.unique(ids, return_counts=True)
+        if len(nodes):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(partners.astype(np.int64))], names=["id", "partners"])
+
+
 FUNCTIONS = {
     "pregel_send_lists": (SendLists, MESSAGE), "pregel_triangle_lists": (TrianglesOfLists, "triangles bigint"),
     "pregel_pernode_triangle_lists": (PernodeTrianglesOfLists, "id bigint, triangles bigint"), "pregel_weak_ties_batches": (WeakTiesOfBatches, "id bigint, ties double"),
-    "pregel_overlap_lists": (OverlapOfLists, "n1 bigint, n2 bigint, overlap bigint"),
+    "pregel_overlap_lists": (OverlapOfLists, "n1 bigint, n2 bigint, overlap bigint"), "pregel_strong_overlap_lists": (StrongOverlapOfLists, "id bigint, partners bigint"),
 }

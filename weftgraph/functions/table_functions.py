@@ -371,5 +371,4 @@ def overlap_messages(edges: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def strong_overlap_in_sql(messages: DataFrame, threshold: int, per_node: bool = False, partitions: int = 16) -> DataFrame:
     """(n1, n2, overlap), or with ``per_node`` (id, partners), of :func:`overlap_messages`."""
-    columns, end = ("n2 AS id, count(*) AS partners", " GROUP BY n2") if per_node else ("*", "")
-    return _counted("pregel_overlap_lists", messages, columns, partitions, "id", f"threshold => {int(threshold)}", end=end)
+    return _counted("pregel_strong_overlap_lists" if per_node else "pregel_overlap_lists", messages, "*", partitions, "id", f"threshold => {int(threshold)}")
