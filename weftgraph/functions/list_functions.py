@@ -215,7 +215,8 @@ class _Closing(_Rows):
 
 class TrianglesOfLists(_Closing):
     """``pregel_triangle_lists(TABLE(t) PARTITION BY id % n ORDER BY (id, edge NULLS LAST))``: (triangles),
-    one row a partition, to be added up."""
+    one row of each partition that has any, to be added up.  A task without rows ends as well, and
+    Spark can't take a row from it."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -227,7 +228,8 @@ class TrianglesOfLists(_Closing):
             self.total += len(self.closed(rows)[0])
 
     def terminate(self) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([self.total], pa.int64())], names=["triangles"])
+        if self.total:
+            yield pa.RecordBatch.from_arrays([pa.array([self.total], pa.int64())], names=["triangles"])
 
 
 class PernodeTrianglesOfLists(_Closing):
